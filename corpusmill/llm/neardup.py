@@ -35,6 +35,8 @@ from corpusmill.session import materialize
 SKETCH_BITS = 21
 #: Counters in a row of the partial sketches.
 SKETCH_BLOCK = 1 << 15
+#: N-grams of the input for each hash partition.
+PART_GRAMS = 2_000_000
 #: Entries of an inverted list in a block.
 BLOCK = 16
 #: A list that the sketch says is longer is split over pairs of parts of about this length.
@@ -377,8 +379,9 @@ def links(df: DataFrame, text: str, rule: Rule = Rule()) -> DataFrame:
     sets = with_set_id(df, text).select("sid", "text")
     levels = _level_table(sets, rule)
     shared = spark.sparkContext.broadcast(levels)
-    # about 32k sets fill a partition; the sketch bounds their n-grams from above
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # partitions hold about as many n-grams each at any size of input
+    grams = float(np.exp2(levels / 8.0).sum() - len(levels))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, math.ceil(grams / PART_GRAMS))
     prefixes = sets.mapInArrow(_prefixes(rule, shared, parts), "part int, sid long, size int, sketch binary, keys binary, positions binary")
     found = prefixes.repartitionById(parts, "part").mapInArrow(_candidates(rule), "a long, b long").distinct()
     pairs = materialize(found, "p1-candidates")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import neardup, sql
+from corpusmill.llm import neardup, spam, sql, tokens
 from corpusmill.session import table
 
 #: Light revision: distinct runs of three words, at least half of them shared, texts of 20 words or more.
@@ -24,6 +24,21 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "chunks"), "text", "chunk_key").withColumnRenamed("key", "chunk_key")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.flagged(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def p8_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each strongest non-prose shape leads, and how many of those it makes spam."""
+    found = spam.shares(table(spark, sf_dir, "documents"), "doc_id", "text")
+    led = found.where(F.size("shapes") > 0).select(F.col("shapes")[0].alias("shape"), (F.col("share") > spam.DOMINANT).cast("long").alias("spam"))
+    return led.groupBy("shape").agg(F.count("*").alias("documents"), F.sum("spam").alias("flagged"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
