@@ -8,9 +8,65 @@ WITH w AS (SELECT chunk_key, {WORDS} AS ws FROM chunks WHERE text IS NOT NULL),
 t AS (SELECT DISTINCT chunk_key, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS tri
       FROM (SELECT chunk_key, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 20)),
 n AS (SELECT chunk_key, count(*) AS n FROM t GROUP BY 1),
-o AS (SELECT a.chunk_key AS x, b.chunk_key AS y, count(*) AS both
+o AS (SELECT a.chunk_key AS x, b.chunk_key AS y, count(*) AS shared
       FROM t a JOIN t b ON a.tri = b.tri AND a.chunk_key < b.chunk_key GROUP BY 1, 2)
 SELECT x AS chunk_a, y AS chunk_b FROM o JOIN n na ON na.chunk_key = x JOIN n nb ON nb.chunk_key = y
-WHERE both * 2 >= na.n + nb.n - both
+WHERE shared * 2 >= na.n + nb.n - shared
+""",
+    "p2_found": r"""
+WITH m AS (SELECT id, lower(regexp_replace(session_id, '^\s+|\s+$', '', 'g')) AS session,
+    lower(regexp_replace(role, '^\s+|\s+$', '', 'g')) AS role, received_at,
+    TRY_CAST(CASE WHEN regexp_matches(trim(created_at), '^\d{4}-\d\d-\d\d[T ]\d\d:\d\d') THEN
+      CASE WHEN regexp_matches(trim(created_at), '(Z|[+-]\d\d:?\d\d)$') THEN trim(created_at) ELSE trim(created_at) || 'Z' END END AS TIMESTAMPTZ) AS ts,
+    coalesce(regexp_matches(content, '\S'), false) AS said
+  FROM messages),
+d AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY received_at DESC NULLS LAST, ts DESC NULLS LAST, session DESC NULLS LAST, role DESC NULLS LAST, said DESC) = 1),
+r AS (SELECT *, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 END AS code FROM d
+      WHERE session IN (SELECT lower(trim(id)) FROM chat_sessions)),
+o AS (SELECT *, row_number() OVER w AS turn, lag(code) OVER w AS before, lead(code) OVER w AS after
+      FROM r WINDOW w AS (PARTITION BY session ORDER BY ts, code, id)),
+g AS (SELECT session FROM o GROUP BY session HAVING bool_and(coalesce(ts IS NOT NULL AND code IS NOT NULL AND said
+        AND CASE WHEN turn = 1 THEN code IN (0, 1) WHEN code = 1 THEN before IN (0, 2) WHEN code = 2 THEN before = 1 ELSE false END
+        AND (after IS NOT NULL OR code = 2), false)))
+SELECT session AS session_id, turn::INTEGER AS turn_no, id AS message_id FROM o WHERE session IN (FROM g)
+""",
+    "p3_found": r"""
+WITH e AS (SELECT chunk_key, unnest(CASE WHEN json_valid(entities) AND json_type(entities) = 'ARRAY' THEN json_extract(entities, '$[*]') END) AS x FROM chunks),
+i AS (SELECT DISTINCT 'entities' AS field, chunk_key, trim(regexp_replace(lower(x ->> '$.name'), '\s+', ' ', 'g')) AS item FROM e
+      WHERE json_type(x) = 'OBJECT' AND json_type(x, '$.name') = 'VARCHAR'
+      UNION SELECT 'concept_tags', chunk_key, lower(regexp_replace(t, '^\s+|\s+$', '', 'g')) FROM (SELECT chunk_key, unnest(string_split(concept_tags, ',')) AS t FROM chunks)),
+k AS (SELECT * FROM i WHERE item <> ''),
+n AS (SELECT field, count(DISTINCT chunk_key) AS n FROM k GROUP BY 1),
+c AS (SELECT field, item, count(*) AS c FROM k GROUP BY 1, 2),
+p AS (SELECT a.field, a.item AS item_a, b.item AS item_b, count(*) AS shared
+      FROM k a JOIN k b ON a.field = b.field AND a.chunk_key = b.chunk_key AND a.item < b.item GROUP BY ALL)
+SELECT p.field, item_a, item_b FROM p JOIN n USING (field) JOIN c a ON a.field = p.field AND a.item = item_a JOIN c b ON b.field = p.field AND b.item = item_b
+WHERE shared >= 4 AND n.n * shared >= 8 * a.c * b.c
+""",
+    "p4_found": r"""
+WITH RECURSIVE t AS (
+  SELECT 'section' AS origin, extract_id AS item_id, (n - 1)::INTEGER AS section_no, sections[n].text AS text
+  FROM (SELECT extract_id, sections, unnest(range(1, len(sections) + 1)) AS n FROM extracted_documents)
+  UNION ALL SELECT 'result', result_id, 0, text FROM search_results),
+big AS (SELECT * FROM t WHERE length(text) > 1200),
+cut AS (
+  SELECT origin, item_id, section_no, text, 0 AS piece, 0 AS s, 0 AS e, 0 AS nxt FROM big
+  UNION ALL
+  SELECT origin, item_id, section_no, text, piece + 1, nxt, z,
+    CASE WHEN z >= length(text) THEN -1 ELSE
+      CASE WHEN regexp_extract(substr(text, z - 150, 151), '(?s)^(.*?[ \t\n])[^ \t\n]', 1) <> ''
+        THEN z - 151 + length(regexp_extract(substr(text, z - 150, 151), '(?s)^(.*?[ \t\n])[^ \t\n]', 1)) ELSE z - 150 END END
+  FROM (SELECT *, CASE WHEN length(text) - nxt <= 1200 THEN length(text)
+      WHEN regexp_matches(substr(text, nxt + 600, 601), '\n\n') THEN nxt + 599 + length(regexp_extract(substr(text, nxt + 600, 601), '(?s)^.*\n\n'))
+      WHEN regexp_matches(substr(text, nxt + 600, 601), '[.!?][ \t\n]') THEN nxt + 599 + length(regexp_extract(substr(text, nxt + 600, 601), '(?s)^.*[.!?][ \t\n]'))
+      WHEN regexp_matches(substr(text, nxt + 601, 600), '[ \t\n]') THEN nxt + 600 + length(regexp_extract(substr(text, nxt + 601, 600), '(?s)^.*[ \t\n]'))
+      ELSE nxt + 1200 END AS z FROM cut WHERE nxt >= 0))
+SELECT origin, item_id, section_no, piece::INTEGER AS piece_no, s::INTEGER AS start_pos, e::INTEGER AS end_pos FROM cut WHERE piece > 0
+""",
+    "p7_found": rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents), i AS (SELECT item_id, {WORDS} AS ws FROM eval_items),
+g AS (SELECT DISTINCT item_id, array_to_string(ws[k : k + 11], ' ') AS run FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS k FROM i)),
+h AS (SELECT DISTINCT doc_id, array_to_string(ws[k : k + 11], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (run)
 """,
 }
