@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import conversations, cooccurrence, leaks, names_json, neardup, spam, splitting, sql, tokens
+from corpusmill.llm import conversations, cooccurrence, leaks, names_json, neardup, spam, splitting, sql, tokens, variants
 from corpusmill.session import table
 
 #: Light revision: distinct runs of three words, at least half of them shared, texts of 20 words or more.
@@ -75,6 +75,15 @@ def p4_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _oversized(spark, sf_dir, splitting.balanced)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.pairs(table(spark, sf_dir, "chunks"), "entities")
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per name with the entity it stands for."""
+    return variants.clusters(table(spark, sf_dir, "chunks"), "entities")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
