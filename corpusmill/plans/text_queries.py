@@ -229,13 +229,15 @@ def word_overlap(spark, sf_dir):
 @query(
     """
 WITH a AS (SELECT DISTINCT id, coalesce(from_json(chunk_ids_shown, '["VARCHAR"]'), []) AS s, coalesce(from_json(chunk_ids_fetched, '["VARCHAR"]'), []) AS f, coalesce(from_json(chunk_ids_ignored, '["VARCHAR"]'), []) AS g FROM interactions)
-SELECT id, list_sort(list_distinct(list_concat(s, f))) AS either, list_sort(list_distinct(list_filter(s, lambda x: NOT list_contains(f, x)))) AS unfetched, list_sort(list_distinct(list_filter(s, lambda x: list_contains(g, x)))) AS ignored FROM a
+SELECT id, array_to_string(list_sort(list_distinct(list_concat(s, f))), '|') AS either, array_to_string(list_sort(list_distinct(list_filter(s, lambda x: NOT list_contains(f, x)))), '|') AS unfetched,
+  array_to_string(list_sort(list_distinct(list_filter(s, lambda x: list_contains(g, x)))), '|') AS ignored FROM a
 """
 )
 def array_set_ops(spark, sf_dir):
     ids = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
     a = table(spark, sf_dir, "interactions").select("id", ids("chunk_ids_shown").alias("s"), ids("chunk_ids_fetched").alias("f"), ids("chunk_ids_ignored").alias("g")).distinct()
-    return a.select("id", F.array_sort(F.array_union("s", "f")).alias("either"), F.array_sort(F.array_except("s", "f")).alias("unfetched"), F.array_sort(F.array_intersect("s", "g")).alias("ignored"))
+    joined = lambda c, name: F.array_join(F.array_sort(c), "|").alias(name)
+    return a.select("id", joined(F.array_union("s", "f"), "either"), joined(F.array_except("s", "f"), "unfetched"), joined(F.array_intersect("s", "g"), "ignored"))
 
 
 @query(f"SELECT chunk_key, len({WORDS.format('text')})::INTEGER AS words FROM {CHUNKS} WHERE len({WORDS.format('text')}) >= 15")
@@ -243,8 +245,13 @@ def enrichable_filter(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_key", T.word_count(F.col("text")).alias("words")).where("words >= 15")
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-9), 5)) AS unit FROM embeddings")
+@query(
+    """
+SELECT vec_id, i::INTEGER - 1 AS place, round(embedding[i]::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-9), 5) AS value
+FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
+"""
+)
 def l2_normalize(spark, sf_dir):
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))) + 1e-9
-    e = table(spark, sf_dir, "embeddings").withColumn("norm", norm)
-    return e.select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") / F.col("norm"), 5)).alias("unit"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", norm.alias("norm"), F.posexplode("embedding").alias("place", "x"))
+    return e.select("vec_id", "place", F.round(F.col("x").cast("double") / F.col("norm"), 5).alias("value"))
