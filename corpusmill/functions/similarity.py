@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def jaro(a: str, b: str) -> float:
@@ -44,13 +46,13 @@ def jaro_winkler(a: str, b: str) -> float:
     return s + 0.1 * same * (1 - s) if s > 0.7 else s
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Null if either is null."""
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _least_matches(n: float, m: float, threshold: float) -> float:
+def _least_matches(n, m, threshold: float):
     """Letters that must match for Jaro-Winkler to reach the threshold: (k/n + k/m + 1) / 3 must reach the least Jaro similarity that four equal first letters can raise to it."""
     least = (threshold - 0.4) / 0.6
     return (3 * least - 1) / (1 / n + 1 / m)
@@ -71,7 +73,7 @@ def similar_pairs(names: DataFrame, name: str, threshold: float = 0.9) -> DataFr
     # the shortest partner: with fewer letters than this the lengths alone keep the similarity below the threshold
     least = (threshold - 0.4) / 0.6
     needed = F.ceil(n * (3 * least - 1 - 1) - 1e-9)  # common letters with the shortest possible partner
-    order = F.array_sort(F.transform(tokens, lambda t: F.struct((-F.substring_index(t, "#", -1).cast("int")).alias("k"), F.locate(F.substring(t, 1, 1), F.lit("zqxjkvwybpgfmudchlrnitosea ")).alias("f"), t.alias("t"))))
+    order = F.array_sort(F.transform(tokens, lambda t: F.struct((-F.substring_index(t, "#", -1).cast("int")).alias("k"), F.position(F.substring(t, 1, 1), F.lit("zqxjkvwybpgfmudchlrnitosea ")).alias("f"), t.alias("t"))))
     prefix = F.slice(order, 1, F.greatest(F.lit(1), (n - F.greatest(needed, F.lit(1)) + 1).cast("int")))
     sent = distinct.select("name", n.alias("n"), F.explode(F.transform(prefix, lambda x: x["t"])).alias("t"))
     x, y = sent.select(F.col("name").alias("a"), F.col("n").alias("na"), "t"), sent.select(F.col("name").alias("b"), F.col("n").alias("nb"), "t")
@@ -79,17 +81,22 @@ def similar_pairs(names: DataFrame, name: str, threshold: float = 0.9) -> DataFr
     met = x.join(y, "t").where(fit).select("a", "b").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-        from functools import lru_cache
-
-        bag = lru_cache(100_000)(Counter)
         for b in batches:
             out = []
-            for p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if (bag(p) & bag(q)).total() + 1e-9 >= _least_matches(len(p), len(q), threshold):
-                    s = jaro_winkler(p, q)
+            if b.num_rows:
+                p, q = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+                index = {x: i for i, x in enumerate({*p, *q})}
+                bags = np.zeros((len(index), 64), np.uint8)  # letters by hash: collisions only overstate what is common
+                for x, i in index.items():
+                    np.add.at(bags[i], [ord(c) % 64 for c in x[:255]], 1)
+                size = np.array([len(x) for x in index], float)
+                i, j = (np.array([index[x] for x in side]) for side in (p, q))
+                common = np.minimum(bags[i], bags[j]).sum(axis=1)
+                likely = (common + 1e-9 >= _least_matches(size[i], size[j], threshold)) | (np.maximum(size[i], size[j]) > 255)
+                for k in np.flatnonzero(likely):
+                    s = jaro_winkler(p[k], q[k])
                     if s + 1e-12 >= threshold:
-                        out.append((p, q, s * 100))
+                        out.append((p[k], q[k], s * 100))
             cols = list(zip(*out)) or [[], [], []]
             yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["a", "b", "score"])
 
