@@ -255,3 +255,37 @@ def l2_normalize(spark, sf_dir):
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))) + 1e-9
     e = table(spark, sf_dir, "embeddings").select("vec_id", norm.alias("norm"), F.posexplode("embedding").alias("place", "x"))
     return e.select("vec_id", "place", F.round(F.col("x").cast("double") / F.col("norm"), 5).alias("value"))
+
+
+@query()
+def pages_extract(spark, sf_dir):
+    """Every document read as a web page: its title, and how many sections and words they have."""
+    from corpusmill.sources import documents
+
+    found = documents.pages(table(spark, sf_dir, "documents"), "doc_id", "text")
+    words = F.aggregate("sections", F.lit(0), lambda a, s: a + T.word_count(s["text"]))
+    return found.select(F.col("key").alias("doc_id"), "title", F.size("sections").alias("sections"), words.alias("words"))
+
+
+@query()
+def web_sections(spark, sf_dir):
+    """The sections of every document as a web page, under its own title."""
+    from corpusmill.sources import documents
+
+    found = documents.pages(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("key").alias("doc_id"), F.posexplode("sections").alias("section_no", "s")).select("doc_id", "section_no", "s.title", "s.text")
+
+
+@query(
+    """
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS events FROM s GROUP BY user_id, n
+"""
+)
+def event_sessions(spark, sf_dir):
+    """Sessions of the event log, by gaps of half an hour."""
+    from corpusmill.streaming import sessions
+
+    found = sessions.session_windows(table(spark, sf_dir, "events"))
+    return found.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
