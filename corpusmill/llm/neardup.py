@@ -231,7 +231,8 @@ def candidates_of(rule: Rule, sid, size, sketch, keys, owner, pos):
     run = np.searchsorted(run_key, keys)
     run = np.where((run < len(run_key)) & (run_key[np.minimum(run, len(run_key) - 1)] == keys), run, -1)
     probe = np.flatnonzero((run >= 0) & (most >= least))
-    probe = probe[(run_end[run[probe]] - runs[run[probe]]) > 1]
+    begin = runs[run[probe]]
+    probe = probe[(run_end[run[probe]] - begin > 1) | (iowner[begin] != owner[probe])]  # lists with another set's entry
     if not len(probe):
         return np.zeros((0, 2), np.int64)
     # (list, size) is one increasing number, so one search finds every range
