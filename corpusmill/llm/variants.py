@@ -286,8 +286,8 @@ def clusters(df: DataFrame, column: str) -> DataFrame:
         agree = (F.col("xm") != "") & (F.col("ym") != "") & F.exists(F.split("xm", " "), lambda m: F.array_contains(F.split("ym", " "), m))
         differ = (F.col("xm") != "") & (F.col("ym") != "") & ~agree
         to = to.where(~differ).groupBy("x", "to").agg(F.min("cost").alias("cost"), F.max(agree.cast("int")).alias("agree"), F.max("yrank").alias("yrank"), F.max("yn").alias("yn"))
-        best = to.groupBy("x").agg(F.max(F.struct(F.col("agree"), -F.col("cost"), (F.col("yrank") > 0).cast("int"))).alias("best"))
-        to = to.join(best, "x").where((F.col("agree") == F.col("best.agree")) & (F.col("cost") == -F.col("best.col2")) & ((F.col("yrank") > 0).cast("int") == F.col("best.col3")))
+        best = to.groupBy("x").agg(F.max(F.struct(F.col("agree"), -F.col("cost"), (F.col("yrank") > 1).cast("int"))).alias("best"))
+        to = to.join(best, "x").where((F.col("agree") == F.col("best.agree")) & (F.col("cost") == -F.col("best.col2")) & ((F.col("yrank") > 1).cast("int") == F.col("best.col3")))
         only = to.groupBy("x").agg(F.count("*").alias("entities"), F.first("to").alias("to"), F.max("yrank").alias("yrank")).where("entities = 1")
         moved = only.select(F.col("x").alias("root"), "to")
         # whatever stood for the variant moves with it
