@@ -38,6 +38,6 @@ def save(folder: str, collection: str, parts: dict[str, object]) -> str:
 
 def read_chunks(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The chunks of all archives under a folder, with their collection; a broken file gives no rows."""
-    rows = spark.read.option("wholetext", "true").text(f"{folder}/*/chunks.json").select(F.input_file_name().alias("path"), "value")
+    rows = spark.read.text(f"{folder}/*/chunks.json", wholetext=True).select(F.input_file_name().alias("path"), "value")
     parsed = rows.select(F.regexp_extract("path", "([^/]+)/[^/]*$", 1).alias("collection"), F.from_json("value", f"array<struct<{schema}>>").alias("c"))
     return parsed.select("collection", F.explode("c").alias("c")).select("collection", "c.*")

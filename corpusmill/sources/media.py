@@ -48,7 +48,7 @@ def read_srt(spark: SparkSession, folder: str) -> DataFrame:
     """path, episode_num (1-based place of the file in its folder), start, end and text of every block of the subtitle files, inside the JVM."""
     from pyspark.sql import Window
 
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.srt").text(folder).select(F.input_file_name().alias("path"), F.col("value"))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.srt").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
     blocks = files.select("path", F.posexplode(F.split("value", r"\r?\n\s*\r?\n")).alias("n", "block"))
     part = lambda k: F.regexp_extract("block", _SRT.pattern, k).cast("double")
     time = lambda k: part(k) * 3600 + part(k + 1) * 60 + part(k + 2) + part(k + 3) / 1000
