@@ -260,33 +260,39 @@ def candidates_of(rule: Rule, sid, size, sketch, keys, owner, pos):
     return np.stack([pairs // len(sid), pairs % len(sid)], axis=1)
 
 
+def _flat(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column in one array, and how many bytes each row has."""
+    c = column.combine_chunks()
+    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+    offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+    data = np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data.copy().view(dtype), np.diff(offsets)
+
+
 def _candidates(rule: Rule):
     """Pairs of set ids of one partition's lists; copies that came from several tasks count once."""
 
-    def lists(rows):
-        sid = np.array([r[1] for r in rows], np.int64)
-        size = np.array([r[2] for r in rows], np.int64)
-        sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        keys = np.frombuffer(b"".join(r[4] for r in rows), np.uint64)
-        pos = np.frombuffer(b"".join(r[5] for r in rows), np.int32).astype(np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(r[4]) // 8 for r in rows])
-        pairs = candidates_of(rule, sid, size, sketch, keys, owner, pos)
+    def lists(rows: pa.Table):
+        sid = rows["sid"].to_numpy()
+        size = rows["size"].to_numpy().astype(np.int64)
+        sketch, _ = _flat(rows["sketch"], np.uint8)
+        keys, widths = _flat(rows["keys"], np.uint64)
+        pos = _flat(rows["positions"], np.int32)[0].astype(np.int64)
+        pairs = candidates_of(rule, sid, size, sketch, keys, np.repeat(np.arange(len(sid)), widths // 8), pos)
         a, b = sid[pairs[:, 0]], sid[pairs[:, 1]]
         return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches):
-        part, rows, seen = None, [], set()
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if r[0] != part:
-                    if rows:
-                        yield lists(rows)
-                    part, rows, seen = r[0], [], set()
-                if r[1] not in seen:
-                    seen.add(r[1])
-                    rows.append(r)
-        if rows:
-            yield lists(rows)
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        del held
+        part = table["part"].to_numpy()
+        for p in np.unique(part):  # one, as rows are partitioned by it
+            rows = table if (part == p).all() else table.filter(pa.array(part == p))
+            first = np.unique(rows["sid"].to_numpy(), return_index=True)[1]
+            yield lists(rows.take(pa.array(np.sort(first))) if len(first) < len(rows) else rows)
 
     return run
 
