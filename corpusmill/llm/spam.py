@@ -23,6 +23,8 @@ DOMINANT, SHAPES = 0.5, 5
 STUFFED = 0.4
 #: A phrase is repeated if it occurs so often, and its words make up this part of the page.
 REPEATS, REPEAT_SHARE, SINGLE_SHARE = 4, 0.04, 0.08
+#: Where function words make up this part, only so many of the strongest phrases count: running text that is said again repeats many.
+RUNNING, PHRASES = 0.2, 3
 #: So many headings in a row, most of them repeating words, are a list.
 HEADINGS = 4
 
@@ -47,7 +49,12 @@ TAG = re.compile(r"(?:^|\s)#\w")
 SEPARATORS = (("|", re.compile(r"\s*\|\s*")), ("\u00b7", re.compile(r"\s*[\u00b7\u2022]\s*")), (";", re.compile(r"\s*;\s*")), (",", re.compile(r"\s*,\s*")))
 
 
-def _repeated(units: set[str]) -> frozenset:
+#: All repeated phrases of a page, and the strongest.
+Phrases = tuple[frozenset, frozenset]
+NONE: Phrases = (frozenset(), frozenset())
+
+
+def _repeated(units: set[str]) -> Phrases:
     """Phrases that the page's different units repeat: neighbouring words, or a word that is
     much of the page; function words aside. A sentence that is repeated whole counts once."""
     words: list[str] = []
@@ -57,11 +64,13 @@ def _repeated(units: set[str]) -> frozenset:
     n = len(words) - len(units)
     often = {w for w, c in Counter(words).items() if c >= REPEATS and w and w not in FUNCTION_WORDS}
     if not often:
-        return frozenset()
+        return NONE
     pairs = Counter(p for p in zip(words, words[1:]) if p[0] in often and p[1] in often)
-    found = {p for p, c in pairs.items() if c >= REPEATS and 2 * c >= REPEAT_SHARE * n}
+    strong = sorted((-c, p) for p, c in pairs.items() if c >= REPEATS and 2 * c >= REPEAT_SHARE * n)
+    found = {p for _, p in strong}
     singles = Counter(w for w in words if w in often)
-    return frozenset(found | {w for w, c in singles.items() if c >= REPEATS and c >= SINGLE_SHARE * n})
+    single = {w for w, c in singles.items() if c >= REPEATS and c >= SINGLE_SHARE * n}
+    return frozenset(found | single), frozenset({p for _, p in strong[:PHRASES]} | single)
 
 
 def _cover(words: list[str], phrases: frozenset) -> float:
@@ -87,10 +96,10 @@ def _size(n: int) -> str:
     return "0" if not n else "1-3" if n < 4 else "4-9" if n < 10 else "10-39" if n < 40 else "40+"
 
 
-def unit_shape(unit: str, linked: bool, phrases: frozenset) -> tuple[str, ...] | None:
+def unit_shape(unit: str, linked: bool, phrases: Phrases) -> tuple[str, ...] | None:
     """The shape of a unit if no prose has it; () for a heading; None for prose, code and tables."""
     body = unit.strip()
-    if not linked and not phrases and body[-1:] in SENTENCE_END and max(map(unit.count, "|\u00b7;,")) < 3:
+    if not linked and not phrases[0] and body[-1:] in SENTENCE_END and max(map(unit.count, "|\u00b7;,")) < 3:
         return None
     raw = WORD.findall(unit)
     n, case = len(raw), _case(raw)
@@ -100,7 +109,8 @@ def unit_shape(unit: str, linked: bool, phrases: frozenset) -> tuple[str, ...] |
     if tags >= 3 and tags * 2 >= len(unit.split()):
         return ("tags", case, "#", _size(n))
     low = [w.lower() for w in raw]
-    cover = _cover(low, phrases) if n >= 4 else 0.0
+    function = sum(w in FUNCTION_WORDS for w in low) / max(1, n)
+    cover = _cover(low, phrases[function >= RUNNING]) if n >= 4 else 0.0
     if not body.startswith("|"):
         for sign, split in SEPARATORS:
             if unit.count(sign) >= 3:
@@ -116,7 +126,6 @@ def unit_shape(unit: str, linked: bool, phrases: frozenset) -> tuple[str, ...] |
         return None
     if ENDS.search(body):
         return None
-    function = sum(w in FUNCTION_WORDS for w in low) / max(1, n)
     if n >= 8 and function < 0.12 and (case == "title" or len(set(low)) < 0.6 * n):
         return ("run", case, "", _size(n))
     return () if n <= 7 else None
@@ -153,7 +162,7 @@ def spam_share(text: str | None) -> tuple[float, list[tuple[str, ...]]]:
         nonlocal held, heads
         if len(heads) >= HEADINGS:
             low = [w for h in heads for w in shingles.words(h)]
-            if _cover(low, phrases) >= STUFFED or len(set(low)) < 0.4 * len(low):
+            if _cover(low, phrases[0]) >= STUFFED or len(set(low)) < 0.4 * len(low):
                 then = ("list", _case(low), "newline", "")
         if then and held:
             mass[then] += held
