@@ -197,7 +197,7 @@ def _prefixes(rule: Rule, levels, parts: int):
     return run
 
 
-def _expand(lo: np.ndarray, hi: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _expand(lo: np.ndarray, hi: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, position) for every position in [lo, hi) of each row, at most about ``most`` at once."""
     n = np.maximum(0, hi - lo)
     ends = np.cumsum(n)
