@@ -247,7 +247,7 @@ def enrichable_filter(spark, sf_dir):
 
 @query(
     """
-SELECT vec_id, i::INTEGER - 1 AS place, round(embedding[i]::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-9), 5) AS value
+SELECT vec_id, i::INTEGER - 1 AS place, round(embedding[i]::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-9), 5) + 0.0 AS value
 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
 """
 )
