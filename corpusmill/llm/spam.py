@@ -23,8 +23,8 @@ DOMINANT, SHAPES = 0.5, 5
 STUFFED = 0.4
 #: A phrase is repeated if it occurs so often, and its words make up this part of the page.
 REPEATS, REPEAT_SHARE, SINGLE_SHARE = 4, 0.04, 0.08
-#: Where function words make up this part, only so many of the strongest phrases count: running text that is said again repeats many.
-RUNNING, PHRASES = 0.2, 3
+#: Where function words make up this part, passages of so many words that are said again count once: running text repeats them whole.
+RUNNING, PASSAGE = 0.2, 8
 #: So many headings in a row, most of them repeating words, are a list.
 HEADINGS = 4
 
@@ -49,12 +49,34 @@ TAG = re.compile(r"(?:^|\s)#\w")
 SEPARATORS = (("|", re.compile(r"\s*\|\s*")), ("\u00b7", re.compile(r"\s*[\u00b7\u2022]\s*")), (";", re.compile(r"\s*;\s*")), (",", re.compile(r"\s*,\s*")))
 
 
-#: All repeated phrases of a page, and the strongest.
+#: All repeated phrases of a page, and those that it repeats other than by saying passages again.
 Phrases = tuple[frozenset, frozenset]
 NONE: Phrases = (frozenset(), frozenset())
 
 
-def _repeated(units: set[str]) -> Phrases:
+def _again(words: list[str], phrases: set) -> list[str]:
+    """The words, with blanks for passages that stood before. A passage that itself repeats one of the phrases stays: it is dense with it."""
+    seen: set[tuple[str, ...]] = set()
+    kept = list(words)
+    for i in range(len(words) - PASSAGE + 1):
+        passage = tuple(words[i : i + PASSAGE])
+        if "" in passage:
+            continue
+        if passage not in seen:
+            seen.add(passage)
+            continue
+        own = [p for p in zip(passage, passage[1:]) if p in phrases]
+        if len(set(own)) == len(own):
+            kept[i : i + PASSAGE] = [""] * PASSAGE
+    return kept
+
+
+def _strong(words: list[str], often: set[str], n: int) -> set[tuple[str, str]]:
+    pairs = Counter(p for p in zip(words, words[1:]) if p[0] in often and p[1] in often)
+    return {p for p, c in pairs.items() if c >= REPEATS and 2 * c >= REPEAT_SHARE * n}
+
+
+def _repeated(units: dict[str, None]) -> Phrases:
     """Phrases that the page's different units repeat: neighbouring words, or a word that is
     much of the page; function words aside. A sentence that is repeated whole counts once."""
     words: list[str] = []
@@ -65,12 +87,11 @@ def _repeated(units: set[str]) -> Phrases:
     often = {w for w, c in Counter(words).items() if c >= REPEATS and w and w not in FUNCTION_WORDS}
     if not often:
         return NONE
-    pairs = Counter(p for p in zip(words, words[1:]) if p[0] in often and p[1] in often)
-    strong = sorted((-c, p) for p, c in pairs.items() if c >= REPEATS and 2 * c >= REPEAT_SHARE * n)
-    found = {p for _, p in strong}
+    found = _strong(words, often, n)
+    once = _again(words, found) if found else words
     singles = Counter(w for w in words if w in often)
     single = {w for w, c in singles.items() if c >= REPEATS and c >= SINGLE_SHARE * n}
-    return frozenset(found | single), frozenset({p for _, p in strong[:PHRASES]} | single)
+    return frozenset(found | single), frozenset((_strong(once, often, sum(map(bool, once))) if found else found) | single)
 
 
 def _cover(words: list[str], phrases: frozenset) -> float:
@@ -145,7 +166,7 @@ def spam_share(text: str | None) -> tuple[float, list[tuple[str, ...]]]:
         plain = BULLET.sub("", LINK.sub(" ", line) if linked else line, count=1)
         units = [u for u in SENTENCE.split(plain) if u and not u.isspace()] if len(plain) > 40 else [plain]
         lines.append((len(line) - line.count(" "), linked, plain, units))
-    phrases = _repeated({u for x in lines for u in x[3]})
+    phrases = _repeated({u: None for x in lines for u in x[3]})
     known: dict[str, tuple[str, ...] | None] = {}
 
     def shape_of(unit: str) -> tuple[str, ...] | None:

@@ -227,3 +227,10 @@ def test_spam_rows(spark):
     assert [r.key for r in spam.flagged(df, "doc_id", "text").collect()] == [1]
     assert spam.shares(df, "doc_id", "text").count() == 7
     assert spam.flagged(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_spam_of_many_keywords_in_running_text():
+    keywords = ("oak bench", "pine table", "elm chair", "ash shelf", "fir stool", "yew desk", "teak bed", "birch lamp")
+    assert spam.spam_share(" ".join(f"With {k} you get {k}, because {k} means {k}." for k in keywords))[0] == 1
+    said_again = " ".join(f"{PROSE} And in the {w} hall it goes on." for w in ("old", "new", "red", "far", "low", "dry"))
+    assert spam.spam_share(said_again.lower().replace(".", "").replace(",", ""))[0] <= 0.5
