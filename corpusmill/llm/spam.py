@@ -25,6 +25,8 @@ STUFFED = 0.4
 REPEATS, REPEAT_SHARE, SINGLE_SHARE = 4, 0.04, 0.08
 #: Where function words make up this part, passages of so many words that are said again count once: running text repeats them whole.
 RUNNING, PASSAGE = 0.2, 8
+#: Running text that stands so often is stuffed; fewer times, prose is said again.
+VERBATIM = 10
 #: So many headings in a row, most of them repeating words, are a list.
 HEADINGS = 4
 
@@ -49,9 +51,8 @@ TAG = re.compile(r"(?:^|\s)#\w")
 SEPARATORS = (("|", re.compile(r"\s*\|\s*")), ("\u00b7", re.compile(r"\s*[\u00b7\u2022]\s*")), (";", re.compile(r"\s*;\s*")), (",", re.compile(r"\s*,\s*")))
 
 
-#: All repeated phrases of a page, and those that it repeats other than by saying passages again.
-Phrases = tuple[frozenset, frozenset]
-NONE: Phrases = (frozenset(), frozenset())
+#: All repeated phrases of a page, those that it repeats other than by saying passages again, and its units that are stuffed as they're repeated whole.
+Phrases = tuple[frozenset, frozenset, frozenset]
 
 
 def _again(words: list[str], phrases: set) -> list[str]:
@@ -76,9 +77,25 @@ def _strong(words: list[str], often: set[str], n: int) -> set[tuple[str, str]]:
     return {p for p, c in pairs.items() if c >= REPEATS and 2 * c >= REPEAT_SHARE * n}
 
 
-def _repeated(units: dict[str, None]) -> Phrases:
+def _verbatim(units: Counter[str]) -> frozenset:
+    """Units that the page repeats so often that they're much of it. Keywords need fewer repeats than running text, if each of their words is much of the page."""
+    if max(units.values(), default=0) < REPEATS:
+        return frozenset()
+    words = {u: shingles.words(u) for u in units}
+    n = sum(len(words[u]) * c for u, c in units.items())
+    found = set()
+    for u, c in units.items():
+        if c >= REPEATS and len(words[u]) >= 4:
+            keywords = sum(w in FUNCTION_WORDS for w in words[u]) < RUNNING * len(words[u])
+            if c >= VERBATIM and c * len(words[u]) >= REPEAT_SHARE * n or keywords and c >= SINGLE_SHARE * n:
+                found.add(u)
+    return frozenset(found)
+
+
+def _repeated(units: Counter[str]) -> Phrases:
     """Phrases that the page's different units repeat: neighbouring words, or a word that is
-    much of the page; function words aside. A sentence that is repeated whole counts once."""
+    much of the page; function words aside. A sentence that is repeated whole counts once here; see ``_verbatim``."""
+    verbatim = _verbatim(units)
     words: list[str] = []
     for u in units:
         words += shingles.words(u)
@@ -86,12 +103,12 @@ def _repeated(units: dict[str, None]) -> Phrases:
     n = len(words) - len(units)
     often = {w for w, c in Counter(words).items() if c >= REPEATS and w and w not in FUNCTION_WORDS}
     if not often:
-        return NONE
+        return frozenset(), frozenset(), verbatim
     found = _strong(words, often, n)
     once = _again(words, found) if found else words
     singles = Counter(w for w in words if w in often)
     single = {w for w, c in singles.items() if c >= REPEATS and c >= SINGLE_SHARE * n}
-    return frozenset(found | single), frozenset((_strong(once, often, sum(map(bool, once))) if found else found) | single)
+    return frozenset(found | single), frozenset((_strong(once, often, sum(map(bool, once))) if found else found) | single), verbatim
 
 
 def _cover(words: list[str], phrases: frozenset) -> float:
@@ -120,7 +137,7 @@ def _size(n: int) -> str:
 def unit_shape(unit: str, linked: bool, phrases: Phrases) -> tuple[str, ...] | None:
     """The shape of a unit if no prose has it; () for a heading; None for prose, code and tables."""
     body = unit.strip()
-    if not linked and not phrases[0] and body[-1:] in SENTENCE_END and max(map(unit.count, "|\u00b7;,")) < 3:
+    if not linked and not phrases[0] and not phrases[2] and body[-1:] in SENTENCE_END and max(map(unit.count, "|\u00b7;,")) < 3:
         return None
     raw = WORD.findall(unit)
     n, case = len(raw), _case(raw)
@@ -145,6 +162,8 @@ def unit_shape(unit: str, linked: bool, phrases: Phrases) -> tuple[str, ...] | N
         return ("stuffed", case, "." if ENDS.search(body) else "", _size(n))
     if CODE.search(unit) or body.startswith("|"):
         return None
+    if unit in phrases[2] and (ENDS.search(body) or n > 7):
+        return ("repeated", case, "." if ENDS.search(body) else "", _size(n))
     if ENDS.search(body):
         return None
     if n >= 8 and function < 0.12 and (case == "title" or len(set(low)) < 0.6 * n):
@@ -166,7 +185,7 @@ def spam_share(text: str | None) -> tuple[float, list[tuple[str, ...]]]:
         plain = BULLET.sub("", LINK.sub(" ", line) if linked else line, count=1)
         units = [u for u in SENTENCE.split(plain) if u and not u.isspace()] if len(plain) > 40 else [plain]
         lines.append((len(line) - line.count(" "), linked, plain, units))
-    phrases = _repeated({u: None for x in lines for u in x[3]})
+    phrases = _repeated(Counter(u for x in lines for u in x[3]))
     known: dict[str, tuple[str, ...] | None] = {}
 
     def shape_of(unit: str) -> tuple[str, ...] | None:

@@ -234,3 +234,21 @@ def test_spam_of_many_keywords_in_running_text():
     assert spam.spam_share(" ".join(f"With {k} you get {k}, because {k} means {k}." for k in keywords))[0] == 1
     said_again = " ".join(f"{PROSE} And in the {w} hall it goes on." for w in ("old", "new", "red", "far", "low", "dry"))
     assert spam.spam_share(said_again.lower().replace(".", "").replace(",", ""))[0] <= 0.5
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Buy cheap running shoes online today. " * 200,
+        "Get the oak bench for your home today. We have a pine table at a fair price. Order an elm chair and save big money now. " * 100,
+        "oak bench pine table elm chair ash shelf cheap\n" * 200,
+        "Buy cheap running shoes online today. " * 5,
+    ],
+)
+def test_spam_repeated_verbatim(text):
+    assert spam.spam_share(text)[0] > 0.5
+
+
+def test_prose_said_again_is_no_spam():
+    assert spam.spam_share(PROSE * 9)[0] <= 0.5
+    assert spam.spam_share("Gitara brzmi cicho pod starym dachem, kiedy deszcz pada nad miastem. Nikt nie pyta, skąd muzyka płynie dalej. " * 4)[0] <= 0.5
