@@ -166,7 +166,7 @@ def mentions(df: DataFrame, column: str) -> DataFrame:
     return counted.groupBy("name").agg(*(F.sum(c).alias(c) for c in columns[1:]))
 
 
-_READ = "name string, n long, persons long, orgs long, others long, core string, form string, first string, middle string, last string, turned boolean"
+_READ = "name string, n long, persons long, orgs long, others long, core string, form string, first string, middle string, last string, turned boolean, og string, om string, os string"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, turned = person(name)
             ok = 2 <= len(words) <= 4 and not any(c.isdigit() for c in name) and len(words[-1]) > 1
             whole = (words[0], "".join(w[0] for w in words[1:-1]), words[-1]) if ok else (None, None, None)
-            out.append((name, *counts, *org, *whole, turned))
+            other = (words[1], "".join(w[0] for w in words[2:]), words[0]) if ok and not turned and len(words[0]) > 1 and len(words[1]) > 1 else (None, None, None)
+            out.append((name, *counts, *org, *whole, turned, *other))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ARROW)], names=_NAMES) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in _ARROW], names=_NAMES)
 
 
@@ -186,10 +187,11 @@ _ARROW = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[x.s
 
 
 def readings(df: DataFrame, column: str) -> DataFrame:
-    """name, n, kind, g (given name or words of kind), i (their initials), m (middle initials), s (surname or core), rank.
+    """name, n, kind, g (given name or words of kind), i (their initials), m (middle initials), s (surname or core), rank,
+    given (whether g is known as a given name), og, om, os (given name, middle initials and surname in the other token order, null if a comma or an initial fixes it).
 
     rank: 0 initials only, 1 a nickname, 2 a full given name that few share, 3 one that many share; organisations have 0 (initials only) or 3.
-    Names of other kinds are left out. The order of two words without a comma is turned if only the second is a given name in this corpus.
+    Names of other kinds are left out. The order of two words without a comma is turned if only the second is a given name in this corpus; either way the other order is kept as a second reading.
     """
     read = materialize(mentions(df, column).mapInArrow(_read, _READ), "p5-read")
     people = read.where((F.col("last").isNotNull()) & (F.col("persons") > 0) & ~F.col("turned") & (F.length("first") > 1))
@@ -204,39 +206,47 @@ def readings(df: DataFrame, column: str) -> DataFrame:
     is_person = F.col("last").isNotNull() & F.when(typed, (F.col("persons") >= F.col("orgs")) & (F.col("persons") >= F.col("others"))).otherwise(F.col("k1") | F.col("k2") | short)
     turn = ~F.col("turned") & F.col("k2") & ~F.col("k1") & ~short & (F.col("middle") == "")
     g, s = F.when(turn, F.col("last")).otherwise(F.col("first")), F.when(turn, F.col("first")).otherwise(F.col("last"))
-    orgs = read.where(is_org).select("name", "n", F.lit(ORG).alias("kind"), F.col("form").alias("g"), F.lit("").alias("m"), F.col("core").alias("s"), F.when(F.upper("form") == F.col("form"), 0).otherwise(3).alias("rank"))
-    persons = read.where(is_person & ~is_org).select("name", "n", F.lit(PERSON).alias("kind"), g.alias("g"), "middle", s.alias("s"), (turn | F.col("k1")).alias("k"))
+    orgs = read.where(is_org).select("name", "n", F.lit(ORG).alias("kind"), F.col("form").alias("g"), F.lit("").alias("m"), F.col("core").alias("s"), F.when(F.upper("form") == F.col("form"), 0).otherwise(3).alias("rank"), F.lit(False).alias("given"), *(F.lit(None).cast("string").alias(c) for c in ("og", "om", "os")))
+    persons = read.where(is_person & ~is_org).select("name", "n", F.lit(PERSON).alias("kind"), g.alias("g"), "middle", s.alias("s"), (turn | F.col("k1")).alias("k"), F.when(turn, F.col("first")).otherwise(F.col("og")).alias("og"), "om", F.when(turn, F.col("last")).otherwise(F.col("os")).alias("os"))
     nicknames = nick[F.col("g")]
     rank = F.when(F.length("g") == 1, 0).when(F.coalesce(nicknames, F.lit(False)), 1).when(F.col("k"), 3).otherwise(2)
-    persons = persons.select("name", "n", "kind", "g", F.col("middle").alias("m"), "s", rank.alias("rank"))
+    persons = persons.select("name", "n", "kind", "g", F.col("middle").alias("m"), "s", rank.alias("rank"), (F.col("k") | F.col("g").isin(sorted(NICKNAMES))).alias("given"), "og", "om", "os")
     return orgs.unionByName(persons)
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, side, rule, form) of nodes (node, kind, g, s, rank): side 0 may be a variant, side 1 what it stands for.
+    """(node, side, rule, form, og, om, os) of nodes (node, kind, g, s, rank, others): side 0 may be a variant, side 1 what it stands for.
 
-    Rules: t one typo, n nickname, i initials."""
+    Rules: t one typo, n nickname, i initials, o the other token order (og, om and os are its words)."""
+    no = (None, None, None)
     for b in batches:
         out = []
-        for node, kind, g, s, rank in zip(*(c.to_pylist() for c in b.columns)):
+        for node, kind, g, s, rank, others in zip(*(c.to_pylist() for c in b.columns)):
+            for o in others or ():
+                for f in sorted({o["og"]} | FORMAL.get(o["og"], set())):
+                    out += [(node, 0, "o", f"{kind}s|{f}|{d}", o["og"], o["om"], o["os"]) for d in shortened(o["os"])]
+                out += [(node, 0, "o", f"{kind}g|{d}|{o['os']}", o["og"], o["om"], o["os"]) for d in shortened(o["og"])]
+            if rank and kind == PERSON:
+                out += [(node, 1, "o", f"{kind}s|{g}|{d}", *no) for d in shortened(s)]
+                out += [(node, 1, "o", f"{kind}g|{d}|{s}", *no) for d in shortened(g)]
             first = [initials(g)] if kind == ORG else sorted({g[0]} | {f[0] for f in FORMAL.get(g, ())})
             formal = sorted(FORMAL.get(g, ())) if kind == PERSON else []
             for d in shortened(s):
                 if rank:
-                    out += [(node, side, "t", f"{kind}s|{g}|{d}") for side in (0, 1)]
-                    out += [(node, 0, "n", f"{kind}n|{f}|{d}") for f in formal]
+                    out += [(node, side, "t", f"{kind}s|{g}|{d}", *no) for side in (0, 1)]
+                    out += [(node, 0, "n", f"{kind}n|{f}|{d}", *no) for f in formal]
                     if not formal:
-                        out.append((node, 1, "n", f"{kind}n|{g}|{d}"))
-                    out += [(node, 1, "i", f"{kind}i|{f}|{d}") for f in first]
+                        out.append((node, 1, "n", f"{kind}n|{g}|{d}", *no))
+                    out += [(node, 1, "i", f"{kind}i|{f}|{d}", *no) for f in first]
                 else:
-                    out += [(node, side, "i", f"{kind}i|{f}|{d}") for f in first for side in (0, 1)]
+                    out += [(node, side, "i", f"{kind}i|{f}|{d}", *no) for f in first for side in (0, 1)]
             if rank and kind == PERSON:
-                out += [(node, side, "t", f"{kind}g|{d}|{s}") for d in shortened(g) for side in (0, 1)]
-        cols = list(zip(*out)) or [[], [], [], []]
-        yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["node", "side", "rule", "form"])
+                out += [(node, side, "t", f"{kind}g|{d}|{s}", *no) for d in shortened(g) for side in (0, 1)]
+        cols = list(zip(*out)) or [[]] * 7
+        yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), *(pa.array(c, pa.string()) for c in cols[3:])], ["node", "side", "rule", "form", "og", "om", "os"])
 
 
-_EDGE = "x string, y string, rule string, xg string, xs string, xrank int, xn long, xm string, yg string, ys string, yrank int, yn long, ym string"
+_EDGE = "x string, y string, rule string, xg string, xs string, xrank int, xn long, xm string, yg string, ys string, yrank int, yn long, ym string, xgiven boolean, ygiven boolean, xfirst string"
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +256,12 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (rule, xg, xs, xrank, yg, ys, yrank) in enumerate(zip(*(b.column(c).to_pylist() for c in ("rule", "xg", "xs", "xrank", "yg", "ys", "yrank")))):
             if not one_edit(xs, ys):
                 continue
+            if rule == "o" and xg != yg and yg not in FORMAL.get(xg, ()) and (xs != ys or not one_edit(xg, yg)):
+                continue
             if rule == "t" and xg != yg and (xs != ys or not one_edit(xg, yg) or xrank in (1, 3) and yrank in (1, 3)):
                 continue
             keep.append(i)
-            cost.append(int(xs != ys) + int(rule == "t" and xg != yg))
+            cost.append(int(xs != ys) + int(rule in "to" and xg != yg))
         yield pa.RecordBatch.from_arrays([*b.take(pa.array(keep, pa.int64())).columns, pa.array(cost, pa.int32())], names=[*b.schema.names, "cost"])
 
 
@@ -262,13 +274,13 @@ def clusters(df: DataFrame, column: str) -> DataFrame:
     rows only add to the counts, which decide what a typo stands for.
     """
     named_ = materialize(readings(df, column).withColumn("node", F.concat_ws("|", "kind", F.when(F.col("rank") == 0, F.concat_ws(".", "g", "m")).otherwise(F.col("g")), "s")), "p5-readings")
-    nodes = named_.groupBy("node", "kind", "g", "s", "rank").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set(F.nullif(F.col("m"), F.lit("")))), " ").alias("m"))
+    nodes = named_.groupBy("node", "kind", "g", "s", "rank").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set(F.nullif(F.col("m"), F.lit("")))), " ").alias("m"), F.max("given").alias("given"), F.collect_set(F.when(F.col("og").isNotNull(), F.struct("og", "om", "os"))).alias("others"))
     nodes = materialize(nodes, "p5-nodes")
-    forms = nodes.select("node", "kind", "g", "s", "rank").mapInArrow(_forms, "node string, side int, rule string, form string")
-    x, y = forms.where("side = 0").select(F.col("node").alias("x"), "rule", "form"), forms.where("side = 1").select(F.col("node").alias("y"), "rule", "form")
-    met = x.join(y, ["rule", "form"]).where("x <> y").select("x", "y", "rule").distinct()
-    side = lambda p: nodes.select(F.col("node").alias(p), *(F.col(c).alias(p + c) for c in ("g", "s", "rank", "n", "m")))
-    edges = met.join(side("x"), "x").join(side("y"), "y").select(*(e.split()[0] for e in _EDGE.split(", "))).mapInArrow(_check, _EDGE + ", cost int")
+    forms = nodes.select("node", "kind", "g", "s", "rank", "others").mapInArrow(_forms, "node string, side int, rule string, form string, og string, om string, os string")
+    x, y = forms.where("side = 0").select(F.col("node").alias("x"), "rule", "form", "og", "om", "os"), forms.where("side = 1").select(F.col("node").alias("y"), "rule", "form")
+    met = x.join(y, ["rule", "form"]).where("x <> y").select("x", "y", "rule", "og", "om", "os").distinct()
+    side = lambda p: nodes.select(F.col("node").alias(p), *(F.col(c).alias(p + c) for c in ("g", "s", "rank", "n", "m", "given")))
+    edges = met.join(side("x"), "x").join(side("y"), "y").withColumns({"xfirst": F.col("xg"), "xg": F.coalesce("og", "xg"), "xm": F.coalesce("om", "xm"), "xs": F.coalesce("os", "xs")}).select(*(e.split()[0] for e in _EDGE.split(", "))).mapInArrow(_check, _EDGE + ", cost int")
     edges = materialize(edges, "p5-edges")
 
     # a typo stands for the more frequent spelling next to it; a few steps settle chains of them
@@ -280,7 +292,7 @@ def clusters(df: DataFrame, column: str) -> DataFrame:
         root = root.join(root.select(F.col("x").alias("root"), F.col("root").alias("next")), "root").select("x", F.col("next").alias("root"))
     root = materialize(root, "p5-roots")
 
-    def lift(rule: str, allowed, root: DataFrame) -> DataFrame:
+    def lift(rule: str, allowed, root: DataFrame, edges: DataFrame = edges) -> DataFrame:
         """Variants by one rule join the only entity they can stand for, by the fewest typos; two or more entities are no evidence."""
         to = edges.where((F.col("rule") == rule) & allowed).join(root.withColumnRenamed("x", "y").withColumnRenamed("root", "to"), "y")
         agree = (F.col("xm") != "") & (F.col("ym") != "") & F.exists(F.split("xm", " "), lambda m: F.array_contains(F.split("ym", " "), m))
@@ -293,6 +305,12 @@ def clusters(df: DataFrame, column: str) -> DataFrame:
         # whatever stood for the variant moves with it
         return materialize(root.join(moved, "root", "left").select("x", F.coalesce("to", "root").alias("root")), f"p5-{rule}")
 
+    # of two orders the one stands whose first word is more likely a given name; if both are given names, they may be two persons
+    partners = materialize(nodes.where(F.col("kind") == PERSON).groupBy("g").agg(F.countDistinct("s").alias("partners")), "p5-partners")
+    of = lambda c: partners.select(F.col("g").alias(c), F.col("partners").alias(c + "_partners"))
+    turned = edges.where((F.col("rule") == "o") & ~(F.col("xgiven") & F.col("ygiven"))).join(of("xfirst"), "xfirst").join(of("yg"), "yg")
+    turned = turned.where(F.struct("ygiven", "yg_partners", "yn", "y") > F.struct("xgiven", "xfirst_partners", "xn", "x"))
+    root = lift("o", F.lit(True), root, turned)
     root = lift("n", F.lit(True), root)
     root = lift("i", F.col("yrank") > 0, root)
     alone = root.where("x = root").select(F.col("root").alias("x")).join(nodes.where("rank = 0").select(F.col("node").alias("x")), "x")

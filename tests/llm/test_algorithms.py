@@ -103,3 +103,9 @@ def test_no_names(spark):
 @pytest.mark.parametrize("a,b,yes", [("abc", "abc", True), ("abc", "acb", True), ("abc", "ab", True), ("abc", "xabc", True), ("abc", "abd", True), ("abc", "bca", False), ("abcd", "badc", False), ("", "", True), ("", "ab", False)])
 def test_one_edit(a, b, yes):
     assert variants.one_edit(a, b) is yes and variants.one_edit(b, a) is yes
+
+
+def test_variants_in_the_other_order(spark):
+    names = [("Zoltan Wedosi", 3), ("wedosi zoltan", 1), ("Wedosi Zoltn", 1), ("Zoltan Adam Brek", 3), ("Brek Zoltan Adam", 1), ("Brek Zoltan Peter", 1), ("James Henry", 2), ("Henry James", 2)]
+    got = {tuple(r) for r in variants.pairs(chunks(spark, [(n, "PERSON", k) for n, k in names]), "entities").collect()}
+    assert got == {("Zoltan Wedosi", "wedosi zoltan"), ("Wedosi Zoltn", "Zoltan Wedosi"), ("Wedosi Zoltn", "wedosi zoltan"), ("Brek Zoltan Adam", "Zoltan Adam Brek")}
