@@ -53,7 +53,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that hold at a false-discovery rate of one in a hundred under the fitted null."""
     sets = _sets(spark, sf_dir)
-    found = cooccurrence.with_false_discovery(cooccurrence.surprising_pairs(sets), sets)
+    found = cooccurrence.with_false_discovery(cooccurrence.surprising_pairs(sets, min_shared=1), sets)
     return found.where("q <= 0.01")
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import cooccurrence as co
-from corpusmill.llm import variants
+from corpusmill.llm import queries, variants
 from corpusmill.llm.names_json import named
 
 
@@ -109,3 +109,10 @@ def test_variants_in_the_other_order(spark):
     names = [("Zoltan Wedosi", 3), ("wedosi zoltan", 1), ("Wedosi Zoltn", 1), ("Zoltan Adam Brek", 3), ("Brek Zoltan Adam", 1), ("Brek Zoltan Peter", 1), ("James Henry", 2), ("Henry James", 2)]
     got = {tuple(r) for r in variants.pairs(chunks(spark, [(n, "PERSON", k) for n, k in names]), "entities").collect()}
     assert got == {("Zoltan Wedosi", "wedosi zoltan"), ("Wedosi Zoltn", "Zoltan Wedosi"), ("Wedosi Zoltn", "wedosi zoltan"), ("Brek Zoltan Adam", "Zoltan Adam Brek")}
+
+
+def test_surprise_of_one_shared_record(spark, tmp_path):
+    rows = [f"c{i % 6},c{(i + 1 + i // 6 % 5) % 6}" for i in range(20_000)] + ["rare,scarce"]
+    spark.createDataFrame([(None, t) for t in rows], "entities string, concept_tags string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {(r.item_a, r.item_b): r.shared for r in queries.p3_surprise(spark, str(tmp_path)).collect()}
+    assert got["rare", "scarce"] == 1
