@@ -23,6 +23,18 @@ def words(text: str) -> list[str]:
     return text.translate(_ASCII).split() if text.isascii() else WORD.findall(text.lower())
 
 
+def places(text: str) -> list[tuple[int, int]]:
+    """Where each of ``words(text)`` stands in the text itself, as [first, past the last character).
+
+    Some characters become several when they're lower-cased; a word's place then covers them whole."""
+    low = text.lower()
+    found = [m.span() for m in WORD.finditer(low)]
+    if len(low) == len(text):
+        return found
+    origin = [i for i, c in enumerate(text) for _ in c.lower()]
+    return [(origin[a], origin[b - 1] + 1) for a, b in found]
+
+
 def _hashes(tokens: list[str]) -> list[int]:
     cache = _CACHE
     try:

@@ -150,7 +150,7 @@ def test_encode_rows(spark):
     assert tokens.encode(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_leaks_equal_brute_force(spark):
+def test_leaks_equal_brute_force(spark, monkeypatch):
     rng = random.Random(9)
     words = lambda n: " ".join(rng.choice("abc") for _ in range(n))
     items = [(i, words(rng.randint(0, 16))) for i in range(8)] + [(8, None), (9, "")]
@@ -164,11 +164,11 @@ def test_leaks_equal_brute_force(spark):
                 expected.add((d, i))
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1))
     i = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (500_000, 30):  # one automaton, and several
-        leaks.AUTOMATON_WORDS = limit
+    for limit, scan in ((500_000, 8), (30, 8), (20, 1)):  # one automaton, several, and several scans
+        monkeypatch.setattr(leaks, "AUTOMATON_WORDS", limit)
+        monkeypatch.setattr(leaks, "SCAN_AUTOMATA", scan)
         got = {tuple(r) for r in leaks.leaked(d.drop("item_id"), "doc_id", "text", i, "item_id", "text", 5).collect()}
         assert got == expected and expected
-    leaks.AUTOMATON_WORDS = 500_000
     assert leaks.leaked(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
     assert leaks.leaked(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
 
@@ -184,6 +184,32 @@ def test_cleaned_texts(spark):
     assert got[3].text == rest and got[4].text is None and not got[4].dropped and got[5].text == ""
 
 
+def test_cleaning_depends_neither_on_automata_nor_on_scans(spark, monkeypatch):
+    a, b = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
+    b = b.replace(" b6 ", f" {a} b6 ")  # a stands within b; without it b's halves would meet
+    rest = " ".join(f"r{i}" for i in range(60))
+    inside = " ".join(f"b{i}" for i in range(6)), " ".join(f"b{i}" for i in range(6, 12))
+    docs = spark.createDataFrame([(1, f"{rest} {inside[0]} {a} {inside[1]} {rest}"), (2, f"{rest} {b} {rest}"), (3, f"{rest} {a}")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, a), (2, " ".join(inside)), (3, b)], "item_id long, text string")
+    found = []
+    for limit, scan in ((500_000, 8), (1, 8), (1, 1)):
+        monkeypatch.setattr(leaks, "AUTOMATON_WORDS", limit)
+        monkeypatch.setattr(leaks, "SCAN_AUTOMATA", scan)
+        found.append(sorted(tuple(r) for r in leaks.cleaned(docs, "doc_id", "text", items, "item_id", "text").collect()))
+    assert found[0] == found[1] == found[2]
+    assert [r[1:5] for r in found[0]] == [(1, 24, 144, False), (1, 24, 144, False), (1, 12, 72, False)]
+
+
+def test_lower_casing_that_lengthens_a_text(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    rest = "İstanbul Σας " + " ".join(f"r{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"{rest} {passage}, {rest}")], "doc_id long, text string")
+    got = leaks.cleaned(docs, "doc_id", "text", spark.createDataFrame([(7, passage.upper())], "item_id long, text string"), "item_id", "text").first()
+    assert (got.spans, got.leaked_words, got.dropped, got.text) == (1, 12, False, f"{rest} , {rest}")
+    for t in ("İİ aİb ß", "abc Def", "x\u0130", ""):
+        assert len(shingles.places(t)) == len(shingles.words(t))
+
+
 PROSE = "The narrator would rather shorten a quiet chord than delay the scale. Most of the rest settles slowly, although one motif, a reed and a drum explain it. "
 SPAM = {
     "list": ", ".join(f"{a} oak bench {b}" for a in ("cheap", "best", "buy") for b in ("sale", "deal", "shop", "kit")),
