@@ -2,7 +2,7 @@
 
 Each line is reduced to a shape: how many words it has, how its words are capitalised,
 what separates them, whether it carries links, and whether it ends as a sentence does.
-A page is flagged if a few shapes that no prose has make up more than half of its text.
+A page is flagged if shapes that no prose has make up more than half of its text; the strongest few are reported.
 A text is judged whole, alone and in one pass, so the work follows the text's length.
 """
 
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 
 from corpusmill.llm import shingles
 
-#: Part of the text that the strongest shapes must exceed, and how many shapes count.
-DOMINANT, SHAPES = 0.5, 5
+#: Part of the text that non-prose shapes must exceed, and how many of them are named (all count).
+DOMINANT, NAMED = 0.5, 5
 #: Part of a unit's words inside phrases that the page repeats, from which the unit is stuffed.
 STUFFED = 0.4
 #: A phrase is repeated if it occurs so often, and its words make up this part of the page.
@@ -172,7 +172,7 @@ def unit_shape(unit: str, linked: bool, phrases: Phrases) -> tuple[str, ...] | N
 
 
 def spam_share(text: str | None) -> tuple[float, list[tuple[str, ...]]]:
-    """The part of a text (of its characters other than white space) in its strongest non-prose shapes, and those shapes.
+    """The part of a text (of its characters other than white space) in non-prose shapes of any kind, and the strongest of those.
 
     Null and blank texts have (0, [])."""
     if not text or text.isspace():
@@ -229,12 +229,11 @@ def spam_share(text: str | None) -> tuple[float, list[tuple[str, ...]]]:
             if shape:
                 mass[shape] += part
     headings(last)  # at the end they go with what stands above them
-    strongest = mass.most_common(SHAPES)
-    return sum(m for _, m in strongest) / max(1, total), [s for s, _ in strongest]
+    return sum(mass.values()) / max(1, total), [s for s, _ in mass.most_common(NAMED)]
 
 
 def shares(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, share (part of the text in its strongest non-prose shapes) and shapes, for every row.
+    """key, share (part of the text in non-prose shapes) and shapes (the strongest ``NAMED``), for every row.
 
     Null, empty and blank texts have share 0 and no shapes; repeated rows stay; other columns aren't read. Nothing is shuffled.
     """
