@@ -60,6 +60,28 @@ def test_fit_meets_margins():
     assert np.allclose((p * records).sum(1), counts, rtol=1e-4) and np.allclose((p.T * items).sum(1), sizes, rtol=1e-4)
 
 
+def test_an_unfinished_fit_is_an_error(monkeypatch):
+    args = np.array([1.0, 3, 10, 60]), np.array([50.0, 20, 8, 1]), np.array([1.0, 2, 4]), np.array([80.0, 65, 10])
+    whole = co.fit(*args)
+    monkeypatch.setattr(co, "FIT_CELLS", 4)  # a row at a time
+    assert all(np.allclose(a, b) for a, b in zip(whole, co.fit(*args)))
+    monkeypatch.setattr(co, "STEPS", 1)
+    with pytest.raises(RuntimeError):
+        co.fit(*args)
+
+
+def test_pruning_loses_no_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [set(rng.sample([f"i{int(k)}" for k in range(60)], rng.randint(1, 6))) | ({"hot"} if rng.random() < 0.4 else set()) for _ in range(300)] + [{"u", "v"}] * 6 + [{"once", "hot"}]
+    count, both = Counter(i for r in rows for i in r), Counter(p for r in rows for p in itertools.combinations(sorted(r), 2))
+    expected = {p for p, k in both.items() if k >= 4 and len(rows) * k >= 3 * count[p[0]] * count[p[1]]}
+    for bits in (1 << 27, 1 << 10):  # a full filter keeps all items
+        monkeypatch.setattr(co, "MOST_BITS", bits)
+        assert {(r.item_a, r.item_b) for r in co.surprising_pairs(sets_df(spark, rows), 4, 3, tails=False).collect()} == expected and ("u", "v") in expected
+    left = {i for r in co.possible(sets_df(spark, rows), spark.createDataFrame([("f", i, n) for i, n in count.items()], "field string, item string, n long"), {"f": len(rows)}, 4, 3).collect() for i in r["items"]}
+    assert "hot" not in left and "u" in left
+
+
 def test_tails_equal_exact_convolution():
     n, p = np.array([40, 25, 10]), np.array([[0.02, 0.05, 0.1], [0.3, 0.2, 0.01], [1e-4, 2e-4, 1e-3]])
     for row in p:
