@@ -127,6 +127,25 @@ def test_one_edit(a, b, yes):
     assert variants.one_edit(a, b) is yes and variants.one_edit(b, a) is yes
 
 
+def test_long_names_chains_and_legal_forms(spark):
+    names = [("Maria del Carmen Lopez Garcia", "PERSON", 3), ("MARIA DEL CARMEN LOPEZ GARCÍA", "PERSON", 1), ("Lopez Garcia, Maria del Carmen", "PERSON", 1)]
+    chain = ["abcdefghij", "abcdefghik", "abcdefghlk", "abcdefgmlk", "abcdefnmlk", "abcdeonmlk", "abcdponmlk"]  # each one letter from the one before
+    names += [(f"Quilla {c}", "PERSON", 20 - 2 * i) for i, c in enumerate(chain)]
+    forms = [["Acme GmbH", "Acme Gesellschaft mit beschränkter Haftung", "ACME GMBH"], ["Bord LLC", "Bord Limited Liability Company"], ["Corda Plc", "Corda Public Limited Company"], ["Dorn AG", "Dorn Aktiengesellschaft"]]
+    names += [(n, "ORG", 9 - i) for f in forms for i, n in enumerate(f)]
+    got = {tuple(r) for r in variants.pairs(chunks(spark, names), "entities").collect()}
+    groups = [[n for n, _, _ in names[:3]], [f"Quilla {c}" for c in chain], *forms]
+    assert got == {tuple(sorted(p)) for g in groups for p in itertools.combinations(g, 2)}
+
+
+def test_other_tables_and_scores(spark):
+    names = [("Wilhelmina Rask", "PERSON", 4), ("Minna Rask", "PERSON", 1), ("Norvale Werk", "ORG", 3), ("Norvale W.", "ORG", 1), ("Norvale Wk", "ORG", 2)]
+    tables = variants.Tables(nicknames={"wilhelmina": "minna"}, forms={"werk": "wk"})
+    assert variants.pairs(chunks(spark, names), "entities").where("name_a = 'Minna Rask'").count() == 0
+    got = {r.name: (r.entity, r.score) for r in variants.clusters(chunks(spark, names), "entities", tables).collect()}
+    assert got["Minna Rask"] == got["Wilhelmina Rask"] and got["Norvale Wk"][0] == got["Norvale Werk"][0] and all(0 < s <= 1 for _, s in got.values())
+
+
 def test_variants_in_the_other_order(spark):
     names = [("Zoltan Wedosi", 3), ("wedosi zoltan", 1), ("Wedosi Zoltn", 1), ("Zoltan Adam Brek", 3), ("Brek Zoltan Adam", 1), ("Brek Zoltan Peter", 1), ("James Henry", 2), ("Henry James", 2)]
     got = {tuple(r) for r in variants.pairs(chunks(spark, [(n, "PERSON", k) for n, k in names]), "entities").collect()}
