@@ -58,7 +58,7 @@ def test_pairs_equal_brute_force(spark, rule):
 
 def test_hot_lists_and_groups_are_split_without_loss(spark, monkeypatch):
     rows = texts(3, 80)
-    levels = np.full(1 << neardup.SKETCH_BITS, 160, np.uint8)  # every list counts as hot
+    levels = np.full(1 << neardup.LEAST_BITS, 100, np.uint8)  # every list counts as hot
     monkeypatch.setattr(neardup, "_level_table", lambda *_: levels)
     monkeypatch.setattr(neardup, "GROUP_PAIRS", 5)
     monkeypatch.setattr(neardup, "PART_GRAMS", 10**18)  # the levels overstate the input
@@ -66,6 +66,34 @@ def test_hot_lists_and_groups_are_split_without_loss(spark, monkeypatch):
     assert {tuple(r) for r in neardup.pairs(df, "t", "k", RULE).collect()} == brute(rows, RULE)
 
 
+def test_texts_whose_hashes_clash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_hash", lambda c: F.length(c).cast("long"))
+    rows = texts(3, 60) + [(900 + i, "a b c d e f g " * 4 + x) for i, x in enumerate(("one", "two", "one", "six"))]
+    df = spark.createDataFrame(rows, "k long, t string")
+    assert {tuple(r) for r in neardup.pairs(df, "t", "k", RULE).collect()} == brute(rows, RULE)
+
+
+def test_sketches_blocks_and_hubs_change_nothing(spark, monkeypatch):
+    hub = " ".join(f"h{i}" for i in range(40))
+    rows = texts(5, 60) + [(500 + i, " ".join(f"h{j}" if j != i else f"x{i}" for j in range(40))) for i in range(40)] + [(600 + i, hub) for i in range(20)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    expected = brute(rows, RULE)
+    for name, value in (("COUNTER_CHARS", 0.001), ("COPY_BLOCK", 3), ("GROUP_PAIRS", 7), ("HELD_GRAMS", 50), ("BATCH", 5)):
+        monkeypatch.setattr(neardup, name, value)
+    monkeypatch.setattr(neardup, "LEAST_BITS", 10)
+    monkeypatch.setattr(neardup, "MOST_BITS", 16)
+    assert {tuple(r) for r in neardup.pairs(df, "t", "k", RULE).collect()} == expected
+
+
+def test_packed_entries_come_back():
+    rng = np.random.default_rng(1)
+    sid, size, sketch, counts = rng.integers(-(2**62), 2**62, 5), rng.integers(1, 2**31, 5), rng.integers(0, 255, (5, 32)).astype(np.uint8), np.array([1, 3, 70_000, 2, 1])
+    keys, pos = rng.integers(0, 2**63, counts.sum()).astype(np.uint64), rng.integers(0, 80_000, counts.sum())
+    got = neardup.unpacked(5, int(counts.sum()), neardup.packed(sid, size, sketch, counts, keys, pos))
+    for a, b in zip(got, (sid, size, sketch, counts, keys >> np.uint64(32), np.minimum(pos, 65_535))):
+        assert (a == b).all()
+
+
 def test_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(20_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "short text"), (5, long), (6, long + " end"), (7, long), (7, long), (8, "İ ß ½ " * 30)]
