@@ -27,6 +27,10 @@ class Limits:
     least: int = 600
     overlap: int = 150
 
+    def __post_init__(self) -> None:
+        if not 0 <= self.overlap < self.least < self.most:
+            raise ValueError("limits need 0 <= overlap < least < most")
+
 
 def boundary(text: str, low: int, high: int) -> tuple[int, int]:
     """(cut, strength) of the strongest boundary in (low, high], the last of its kind:
@@ -75,7 +79,7 @@ def balanced(text: str, limits: Limits = Limits()) -> list[tuple[int, int]]:
         reach = max(1, min((limits.most - limits.overlap) // 4, n // (3 * count)))
         out, start, ok = [], 0, True
         for k in range(1, count):
-            target = round(n * k / count)
+            target = (2 * n * k + count) // (2 * count)
             low, high = max(start + limits.overlap, target - reach), min(target + reach, start + limits.most, n)
             if high <= low:
                 ok = False
