@@ -5,7 +5,8 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -129,18 +130,45 @@ def summaries(found: DataFrame, clustered: DataFrame) -> DataFrame:
     return kinds.join(sources, "canonical").join(variants, "canonical")
 
 
-def resolve(asked: DataFrame, name: str, clustered: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """name and canonical (null if unknown): by a variant that equals it whatever the case, else by its most similar variant (90 at least)."""
+def resolve(asked: DataFrame, name: str, clustered: DataFrame, fuzzy: bool = True, fold: bool = False, kinds: DataFrame | None = None, kind: str | None = None) -> DataFrame:
+    """name and canonical (null if unknown) of every distinct name asked for.
+
+    A name is normalised as mentions are (``fold`` drops accents, too) and taken for the variant that equals it whatever the case; else, if ``fuzzy``, for the most similar variant that is similar enough for the lengths of both.
+    With ``kinds`` (canonical, type) and the column ``kind`` of the names' types, only entities of a compatible type come into question for the latter.
+    """
+    low = F.lower(normalize(F.col(name)))
+    low = F.regexp_replace(low, r"\p{Mn}", "") if fold else low
+    own = F.lit("") if kind is None else F.coalesce(F.col(kind), F.lit(""))
+    wanted = asked.where(F.col(name).isNotNull()).select(F.col(name).alias("name"), low.alias("low"), own.alias("kind")).distinct()
     variant = clustered.groupBy(F.lower("name").alias("low")).agg(F.max("canonical").alias("canonical"))
-    wanted = asked.select(F.col(name).alias("name")).distinct().withColumn("low", F.lower("name"))
     exact = wanted.join(variant, "low", "left")
     if not fuzzy:
         return exact.select("name", "canonical")
-    lost = exact.where("canonical IS NULL").select("low").distinct()
-    near = similar_pairs(lost.unionByName(variant.select("low")), "low", 0.9)
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    best = both.join(lost.withColumnRenamed("low", "a"), "a").join(variant.select(F.col("low").alias("b"), F.col("canonical").alias("c")), "b")
-    best = best.groupBy(F.col("a").alias("low")).agg(F.min_by("c", F.struct(-F.round("score", 6), F.col("b"))).alias("near"))
-    return exact.join(best, "low", "left").select("name", F.coalesce("canonical", "near").alias("canonical"))
-
-
+    exact = materialize(exact, "entity-asked")
+    lost = exact.where("canonical IS NULL").select("name", "low", "kind")
+    near = similar_pairs(lost.select("low").distinct(), "low", 0.9, variant.select("low"))
+    best = near.join(lost.withColumnRenamed("low", "a"), "a").join(variant.select(F.col("low").alias("b"), F.col("canonical").alias("c")), "b")
+    best = best.where(F.round("score", 6) >= F.greatest(merge_threshold(F.col("a")), merge_threshold(F.col("b"))))
+    if kinds is not None:
+        best = best.join(kinds.select(F.col("canonical").alias("c"), "type"), "c").where((F.col("kind") == "") | compatible(F.col("kind"), F.col("type")))
+    best = best.groupBy("name", "kind").agg(F.min_by("c", F.struct(-F.round("score", 6), F.col("b"))).alias("near"))
+    return exact.join(best, ["name", "kind"], "left").select("name", F.coalesce("canonical", "near").alias("canonical"))
+
+
+def labels_of(found: DataFrame, clustered: DataFrame) -> DataFrame:
+    """chunk_key and entities (array of canonical names) of every chunk that mentions one."""
+    return found.select("chunk_key", "name").distinct().join(clustered, "name").groupBy("chunk_key").agg(F.array_sort(F.collect_set("canonical")).alias("entities"))
+
+
+def save_index(found: DataFrame, clustered: DataFrame, folder: str) -> None:
+    """Write the entity index: its summaries and its variants, each a table that is replaced whole."""
+    summaries(found, clustered).write.mode("overwrite").parquet(f"{folder}/entities")
+    clustered.select("name", "canonical").write.mode("overwrite").parquet(f"{folder}/variants")
+
+
+def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame] | None:
+    """(summaries, variants) as written; None if there is no whole index."""
+    try:
+        return spark.read.parquet(f"{folder}/entities"), spark.read.parquet(f"{folder}/variants")
+    except AnalysisException:
+        return None

@@ -9,7 +9,7 @@ from corpusmill.operators import graph as G
 from corpusmill.operators import retrieval as R
 from corpusmill.plans.registry import query
 from corpusmill.plans.tables import CHUNKS, chunks
-from corpusmill.session import materialize
+from corpusmill.session import materialize, once
 
 
 def _list(xs) -> str:
@@ -53,13 +53,18 @@ def plain_mentions(spark, sf_dir):
 
 
 def _names(spark, sf_dir):
-    found = materialize(plain_mentions(spark, sf_dir), "mentions")
-    return found, materialize(E.names(found), "names")
+    """Mentions and names, built once for a session and its tables, as the engine's index is."""
+
+    def build():
+        found = materialize(plain_mentions(spark, sf_dir), "mentions")
+        return found, materialize(E.names(found), "names")
+
+    return once(spark, ("names", sf_dir), build)
 
 
 def _clustered(spark, sf_dir):
     found, listed = _names(spark, sf_dir)
-    return found, listed, E.clusters(listed)
+    return found, listed, once(spark, ("clusters", sf_dir), lambda: E.clusters(listed))
 
 
 def _graph(spark, sf_dir):
@@ -132,11 +137,21 @@ def entity_resolve(spark, sf_dir):
     return E.resolve(tags, "tag", _clustered(spark, sf_dir)[2], fuzzy=False)
 
 
-@query()
+ASKED_LOW = f"regexp_replace(lower({NORM.format('strip_accents(name)')}), '\\p{{Mn}}', '', 'g')"
+
+
+@query(f"""WITH RECURSIVE {CLUSTERS}, v AS (SELECT lower(name) AS low, max(canonical) AS canonical FROM clu GROUP BY 1),
+a AS (SELECT name, {ASKED_LOW} AS low FROM (SELECT name FROM {TAGS} UNION SELECT DISTINCT raw FROM raw)),
+x AS (SELECT a.name, a.low, v.canonical FROM a LEFT JOIN v ON v.low = a.low),
+f AS (SELECT x.name, arg_min(v.canonical, struct_pack(s := -round(jaro_winkler_similarity(x.low, v.low) * 100, 6), b := v.low)) AS near FROM x JOIN v ON x.canonical IS NULL AND x.low <> v.low
+  AND round(jaro_winkler_similarity(x.low, v.low) * 100, 6) >= greatest({NEEDS.format('x.low')}, {NEEDS.format('v.low')}) GROUP BY 1)
+SELECT x.name, coalesce(x.canonical, f.near) AS canonical FROM x LEFT JOIN f ON f.name = x.name""")
 def entity_resolve_fuzzy(spark, sf_dir):
-    """The same with the most similar variant for the rest."""
-    tags = chunks(spark, sf_dir).select(F.explode(F.filter(F.transform(F.split("concept_tags", ","), lambda t: F.btrim(t)), lambda t: t != "")).alias("tag"))
-    return E.resolve(tags, "tag", _clustered(spark, sf_dir)[2])
+    """Concept tags and names as typed: normalised, then by a variant, else by the most similar variant that is similar enough for both lengths."""
+    c = chunks(spark, sf_dir)
+    tags = c.select(F.explode(F.filter(F.transform(F.split("concept_tags", ","), lambda t: F.btrim(t)), lambda t: t != "")).alias("name"))
+    typed = c.select(F.explode(F.from_json("entities", "array<string>")).alias("e")).select(F.get_json_object("e", "$.name").alias("name")).where("name IS NOT NULL")
+    return E.resolve(tags.unionByName(typed), "name", _clustered(spark, sf_dir)[2], fold=True)
 
 
 @query(f"""WITH RECURSIVE {CLUSTERS}, s AS (SELECT canonical, count(DISTINCT source) AS sources FROM men JOIN clu USING (name) GROUP BY 1), k AS (SELECT canonical, count(*) AS variants FROM clu GROUP BY 1)
@@ -179,15 +194,21 @@ def npmi_edges(spark, sf_dir):
     return G.edges(_graph(spark, sf_dir)[2])
 
 
-@query(f"WITH RECURSIVE {INC} SELECT entity, neighbor, npmi, (row_number() OVER (PARTITION BY entity ORDER BY npmi DESC, neighbor))::INTEGER AS rank FROM nbr QUALIFY rank <= 10")
+@query(f"""WITH RECURSIVE {INC}, nb AS (SELECT a AS entity, b AS neighbor, npmi, cooccur FROM edg UNION ALL SELECT b, a, npmi, cooccur FROM edg)
+SELECT nb.entity, nb.neighbor, npmi, cooccur, sm.type, (row_number() OVER (PARTITION BY nb.entity ORDER BY npmi DESC, neighbor))::INTEGER AS rank FROM nb JOIN sm ON sm.canonical = nb.neighbor QUALIFY rank <= 10""")
 def graph_neighbors(spark, sf_dir):
-    return R.ranked(G.both_ways(G.edges(_graph(spark, sf_dir)[2])), "entity", "npmi", "neighbor", 10)
+    found, clustered, pairs = _graph(spark, sf_dir)
+    e = materialize(G.edges(pairs), "edges")
+    return G.neighbors(e, G.both_ways(e), E.summaries(found, clustered))
 
 
 def _communities(spark, sf_dir):
-    _, _, pairs = _graph(spark, sf_dir)
-    v, e = G.vertices(pairs), materialize(G.edges(pairs), "edges")
-    return v, e, G.communities(v, e)
+    def build():
+        _, _, pairs = _graph(spark, sf_dir)
+        v, e = materialize(G.vertices(pairs), "vertices"), materialize(G.edges(pairs), "edges")
+        return v, e, materialize(G.communities(v, e), "communities")
+
+    return once(spark, ("communities", sf_dir), build)
 
 
 @query()
@@ -199,10 +220,57 @@ def communities(spark, sf_dir):
 def community_members(spark, sf_dir):
     """The other members of each entity's community, the ten most frequent."""
     v, _, labels = _communities(spark, sf_dir)
-    sized = labels.join(v, "entity")
-    top = R.ranked(sized, "community", "docfreq", "entity", 11)
-    own = labels.select("entity", "community")
-    return own.join(top.select("community", F.col("entity").alias("member"), "docfreq", "rank"), "community").where("entity <> member").select("entity", "member", "docfreq")
+    return G.members(labels, v, labels, 10)
+
+
+@query()
+def community_bridges(spark, sf_dir):
+    """Entities that connect communities."""
+    v, e, labels = _communities(spark, sf_dir)
+    return G.bridges(v, e, labels)
+
+
+@query()
+def graph_overview(spark, sf_dir):
+    """Nodes, edges, communities and bridges of the graph, and its modularity."""
+    v, e, labels = _communities(spark, sf_dir)
+    score = G.modularity(G.both_ways(e).select("entity", "neighbor", F.col("npmi").alias("w")), labels)
+    one = labels.agg(F.count("*").alias("entities"), F.countDistinct("community").alias("communities"))
+    for part in (e.agg(F.count("*").alias("edges")), G.bridges(v, e, labels).agg(F.count("*").alias("bridges"))):
+        one = one.join(F.broadcast(part))  # one row each
+    return one.withColumn("modularity", F.round(F.lit(score), 6))
+
+
+LABELS = CLUSTERS + ", ce AS (SELECT DISTINCT chunk_key, canonical AS entity FROM men JOIN clu USING (name))"
+
+
+@query(f"""WITH RECURSIVE {LABELS}, m AS (SELECT t.chunk_key, r.chunk_key AS related_key, count(*) AS match_count FROM ce t JOIN ce r ON t.entity = r.entity AND t.chunk_key <> r.chunk_key WHERE t.chunk_key % 50 = 0 GROUP BY ALL)
+SELECT chunk_key, related_key, match_count, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY chunk_key ORDER BY match_count DESC, related_key) AS rank FROM m) WHERE rank <= 10""")
+def find_related(spark, sf_dir):
+    """The ten chunks that share the most entities, whatever their spelling, with each queried chunk."""
+    found, _, clustered = _clustered(spark, sf_dir)
+    items = materialize(E.labels_of(found, clustered), "chunk-entities")
+    targets = items.where("chunk_key % 50 = 0").select(F.col("chunk_key").alias("target"), F.col("entities").alias("wanted"))
+    return R.related(items, "chunk_key", "entities", targets, "target", "wanted", 10).select(F.col("target").alias("chunk_key"), F.col("chunk_key").alias("related_key"), "match_count", "rank")
+
+
+HOT = "open_studio_archive"
+
+
+@query(f"""WITH RECURSIVE {LABELS}, t AS (SELECT id AS qid, name FROM (SELECT id, min(query) AS query FROM interactions WHERE id % 50 = 0 AND query IS NOT NULL GROUP BY 1) q JOIN clu ON contains(lower(query), lower(name)) AND length(name) > 3),
+v AS (SELECT lower(name) AS low, max(canonical) AS canonical FROM clu GROUP BY 1), w AS (SELECT DISTINCT qid, canonical FROM t JOIN v ON v.low = lower(t.name)),
+m AS (SELECT qid, ce.chunk_key, count(*) AS match_count FROM w JOIN ce ON ce.entity = w.canonical JOIN {CHUNKS} c ON c.chunk_key = ce.chunk_key AND c.collection = '{HOT}' GROUP BY ALL)
+SELECT qid, chunk_key, match_count, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY match_count DESC, chunk_key) AS rank FROM m) WHERE rank <= 10""")
+def find_related_entities(spark, sf_dir):
+    """For the entities named in each query: the ten chunks of one collection that mention the most of them."""
+    from corpusmill.plans.retrieval_queries import queries
+
+    found, _, clustered = _clustered(spark, sf_dir)
+    named = R.contains_search(queries(spark, sf_dir).select("qid", "query"), "qid", "query", clustered.where(F.length("name") > 3), "name", "name")
+    known = E.resolve(named, "name", clustered, fuzzy=False, fold=True)
+    targets = named.join(known, "name").where("canonical IS NOT NULL").groupBy("qid").agg(F.collect_set("canonical").alias("wanted"))
+    items = E.labels_of(found, clustered).join(chunks(spark, sf_dir).where(F.col("collection") == HOT).select("chunk_key"), "chunk_key", "left_semi")
+    return R.related(items, "chunk_key", "entities", targets.select(F.concat(F.lit("q"), F.col("qid")).alias("target"), "wanted"), "target", "wanted", 10).select(F.substring("target", 2, 20).cast("long").alias("qid"), "chunk_key", "match_count", "rank")
 
 
 @query(f"WITH RECURSIVE {INC}, w AS (SELECT nbr.entity, count(DISTINCT CASE WHEN o.type <> s.type THEN o.type END) AS k, count(*) AS degree FROM nbr JOIN sm s ON s.canonical = nbr.entity JOIN sm o ON o.canonical = nbr.neighbor GROUP BY 1) SELECT entity, k + 1 AS communities_bridged, degree FROM w WHERE k >= 2")
@@ -213,6 +281,22 @@ def graph_bridges(spark, sf_dir):
     return G.bridges(G.vertices(pairs), G.edges(pairs), labels)
 
 
+@query(f"""WITH RECURSIVE {CLUSTERS}, k AS (SELECT canonical, any_value(type) AS type, sum(n)::BIGINT AS mentions FROM (SELECT canonical, arg_min(type, struct_pack(a := -n, b := type)) AS type, sum(n) AS n FROM (SELECT canonical, type, count(*) AS n FROM men JOIN clu USING (name) GROUP BY ALL) GROUP BY 1) GROUP BY 1)
+SELECT type, count(*) AS clusters, sum(mentions)::BIGINT AS mentions, arg_min(canonical, struct_pack(a := -mentions, b := canonical)) AS top_entity FROM k GROUP BY 1""")
+def entity_types(spark, sf_dir):
+    """How many entities each type has, and the one of most mentions."""
+    found, _, clustered = _clustered(spark, sf_dir)
+    s = E.summaries(found, clustered)
+    return s.groupBy("type").agg(F.count("*").alias("clusters"), F.sum("mentions").alias("mentions"), F.min_by("canonical", F.struct(-F.col("mentions"), F.col("canonical"))).alias("top_entity"))
+
+
+@query(f"WITH RECURSIVE {CLUSTERS} SELECT canonical, count(DISTINCT source) AS sources, count(*) AS mentions FROM men JOIN clu USING (name) GROUP BY 1 ORDER BY mentions DESC, canonical LIMIT 20")
+def top_entities(spark, sf_dir):
+    """The twenty entities of most mentions."""
+    found, _, clustered = _clustered(spark, sf_dir)
+    return E.summaries(found, clustered).select("canonical", "sources", "mentions").orderBy(F.col("mentions").desc(), "canonical").limit(20)
+
+
 @query(f"WITH RECURSIVE {INC} SELECT (SELECT count(*) FROM ver) AS entities, (SELECT count(*) FROM edg) AS edges, (SELECT n::BIGINT FROM num) AS chunks")
 def graph_stats(spark, sf_dir):
     _, _, pairs = _graph(spark, sf_dir)

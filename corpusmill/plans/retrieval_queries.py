@@ -133,18 +133,12 @@ BOOST = f"""CASE WHEN rat.chunk_id IS NOT NULL THEN 0.1 * (({WILSON.format(a='(f
   + CASE WHEN c.importance IN (0, 3) THEN 0 ELSE 0.05 * (greatest(1, least(5, c.importance)) - 3) / 2 END"""
 
 
-def _boosted(spark, sf_dir, base):
-    c = chunks(spark, sf_dir).select("chunk_key", "id", "importance")
-    ratings = feedback.chunk_ratings(table(spark, sf_dir, "interactions")).withColumnRenamed("chunk_id", "id")
-    return base.join(c, "chunk_key").join(ratings, "id", "left").withColumn("score", F.round(R.boosted(F.col("score"), F.col("fetches").isNotNull()), 6))
-
-
 @query(f"""WITH {Q}, {_bm25(most=5)}, {RATINGS} SELECT qid, chunk_key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, was)::INTEGER AS rank FROM (
   SELECT qid, fts.chunk_key, fts.rank AS was, round(1.0 + {BOOST}, 6) AS score FROM fts JOIN {CHUNKS} c USING (chunk_key) LEFT JOIN rat ON rat.chunk_id = c.id)""")
 def rating_boost(spark, sf_dir):
     """The best five by text, moved by ratings and importance among themselves."""
-    base = R.bm25(chunks(spark, sf_dir), "chunk_key", "text", queries(spark, sf_dir), "qid", "query", 5).withColumn("score", F.lit(1.0)).withColumnRenamed("rank", "was")
-    return R.ranked(_boosted(spark, sf_dir, base), "qid", "score", "was").select("qid", "chunk_key", "score", "rank")
+    base = R.bm25(chunks(spark, sf_dir), "chunk_key", "text", queries(spark, sf_dir), "qid", "query", 5).withColumn("score", F.lit(1.0))
+    return R.moved_by_ratings(base, chunks(spark, sf_dir), feedback.chunk_ratings(table(spark, sf_dir, "interactions")))
 
 
 @query(f"""WITH {Q}, {_bm25(most=5)}, iu AS (SELECT DISTINCT id, session_id, occurred_at, action, chunk_ids_fetched FROM interactions),
@@ -154,13 +148,15 @@ SELECT qid, chunk_key, score, row_number() OVER (PARTITION BY qid ORDER BY score
   FROM fts JOIN {CHUNKS} c USING (chunk_key) LEFT JOIN h ON h.qid = fts.qid AND h.chunk_id = c.id)""")
 def session_decay(spark, sf_dir):
     """The best five by text; what the session fetched in the half hour before the query counts half."""
-    base = R.bm25(chunks(spark, sf_dir), "chunk_key", "text", queries(spark, sf_dir), "qid", "query", 5).withColumn("score", F.lit(1.0)).withColumnRenamed("rank", "was")
+    base = R.bm25(chunks(spark, sf_dir), "chunk_key", "text", queries(spark, sf_dir), "qid", "query", 5).withColumn("score", F.lit(1.0))
+    return R.decayed(base, chunks(spark, sf_dir), _seen(spark, sf_dir))
+
+
+def _seen(spark, sf_dir):
+    """qid and chunk_id of what each query's session had fetched in the half hour before."""
     log = table(spark, sf_dir, "interactions")
     asked = log.where("id % 50 = 0").select(F.col("id").alias("qid"), "session_id", F.col("occurred_at").alias("now")).distinct()
-    seen = feedback.fetched(log, asked, "qid").withColumnRenamed("chunk_id", "id").withColumn("__seen", F.lit(True))
-    c = chunks(spark, sf_dir).select("chunk_key", "id")
-    found = base.join(c, "chunk_key").join(seen, ["qid", "id"], "left").withColumn("score", F.when(F.col("__seen"), 0.5).otherwise(1.0))
-    return R.ranked(found, "qid", "score", "was").select("qid", "chunk_key", "score", "rank")
+    return feedback.fetched(log, asked, "qid")
 
 
 @query(f"""WITH n AS (SELECT t.chunk_key, r.start_sec, r.end_sec, arg_min(r.text, r.chunk_key) AS text FROM {CHUNKS} t JOIN {CHUNKS} r
@@ -180,15 +176,49 @@ def parent_expand_index(spark, sf_dir):
     return R.expand(hits, "chunk_key", c, "chunk_index", 2)
 
 
-SEARCH = f"""{Q}, {_vec()}, {_bm25()}, {LABELS}, {ENT}, {RRF.format(THREE)}, {RATINGS},
+FETCHED = f"""se AS (SELECT DISTINCT id AS qid, session_id, occurred_at FROM iu WHERE id % 50 = 0),
+h AS (SELECT DISTINCT se.qid, unnest({IDS.format('chunk_ids_fetched')}) AS chunk_id FROM se JOIN (SELECT DISTINCT session_id, action, occurred_at, chunk_ids_fetched FROM interactions) i
+  ON i.session_id = se.session_id AND i.action = 'get_context' AND i.occurred_at > se.occurred_at - INTERVAL 30 MINUTE AND i.occurred_at <= se.occurred_at)"""
+
+
+def _search(parent: str = "qid") -> str:
+    """Tables from vec to res: the whole pipeline up to ranked results, over the queries of q; ``parent`` gives the query whose session counts."""
+    return f"""{_vec()}, {_bm25()}, {LABELS}, {ENT}, {RRF.format(THREE)}, {RATINGS}, {FETCHED},
 top AS (SELECT qid, chunk_key, rank AS was FROM best WHERE rank <= 5),
-sc AS (SELECT qid, top.chunk_key, was, round(1.0 + {BOOST}, 6) AS score FROM top JOIN {CHUNKS} c USING (chunk_key) LEFT JOIN rat ON rat.chunk_id = c.id)"""
+sc AS (SELECT qid, top.chunk_key, was, round(1.0 + {BOOST}, 6) AS score FROM top JOIN {CHUNKS} c USING (chunk_key) LEFT JOIN rat ON rat.chunk_id = c.id),
+rk AS (SELECT qid, chunk_key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, was) AS was FROM sc),
+dc AS (SELECT rk.qid, rk.chunk_key, CASE WHEN h.chunk_id IS NULL THEN rk.score ELSE rk.score * 0.5 END AS score, rk.was FROM rk JOIN {CHUNKS} c USING (chunk_key) LEFT JOIN h ON h.qid = {parent.replace('qid', 'rk.qid')} AND h.chunk_id = c.id),
+res AS (SELECT qid, chunk_key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, was)::INTEGER AS rank FROM dc)"""
+
+
+def _around(res: str) -> str:
+    """Results with the text around them."""
+    on = f"JOIN {CHUNKS} r ON t.collection = r.collection AND t.episode_num = r.episode_num"
+    return f"""hit AS (SELECT * FROM {CHUNKS} WHERE chunk_key IN (SELECT chunk_key FROM {res})),
+tm AS (SELECT t.chunk_key, r.start_sec, r.end_sec, arg_min(r.text, r.chunk_key) AS text FROM hit t {on} AND r.start_sec BETWEEN greatest(0, t.start_sec - 150) AND t.start_sec + 150 WHERE t.start_sec > 0 OR t.end_sec > 0 GROUP BY ALL),
+txt AS (SELECT chunk_key, string_agg(text, chr(10) || chr(10) ORDER BY start_sec, end_sec) AS text, min(start_sec) AS start_sec, arg_max(end_sec, struct_pack(a := start_sec, b := end_sec)) AS end_sec FROM tm GROUP BY 1
+  UNION ALL SELECT t.chunk_key, string_agg(r.text, chr(10) || chr(10) ORDER BY r.chunk_index, r.chunk_key), 0, 0 FROM hit t {on} AND r.chunk_index BETWEEN greatest(0, t.chunk_index - 2) AND t.chunk_index + 2 WHERE t.start_sec <= 0 AND t.end_sec <= 0 GROUP BY 1)
+SELECT res.qid, res.chunk_key, res.score, res.rank, md5(txt.text) AS text_md5, txt.start_sec, txt.end_sec FROM {res} res JOIN txt USING (chunk_key)"""
+
+
+def _hashed(found):
+    return found.select("qid", "chunk_key", "score", "rank", F.md5("text").alias("text_md5"), "start_sec", "end_sec")
 
 
-@query(f"WITH {SEARCH} SELECT qid, chunk_key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, was)::INTEGER AS rank FROM sc")
+@query(f"WITH {Q}, {_search()}, {_around('res')}")
 def search(spark, sf_dir):
-    base = R.search(chunks(spark, sf_dir), vectors(spark, sf_dir), queries(spark, sf_dir), 5).withColumnRenamed("rank", "was")
-    return R.ranked(_boosted(spark, sf_dir, base), "qid", "score", "was").select("qid", "chunk_key", "score", "rank")
+    """The whole pipeline: candidates, fusion, ratings, what the session has seen, and the text around the results."""
+    ratings = feedback.chunk_ratings(table(spark, sf_dir, "interactions"))
+    return _hashed(R.search(chunks(spark, sf_dir), vectors(spark, sf_dir), queries(spark, sf_dir), 5, ratings=ratings, seen=_seen(spark, sf_dir), around=True))
+
+
+TOPIC = "(c.topic = 'gardening' AND c.subtopic <> '')"
+
+
+@query(f"WITH {Q}, {_vec(where=TOPIC)}, {_bm25(where=TOPIC)}, {LABELS}, {ENT}, {RRF.format(THREE)} SELECT qid, chunk_key, 1.0::DOUBLE AS score, rank::INTEGER AS rank FROM best WHERE rank <= 5")
+def search_in_topic(spark, sf_dir):
+    """Search among the chunks of one topic that have a subtopic."""
+    return R.search(chunks(spark, sf_dir), vectors(spark, sf_dir), queries(spark, sf_dir), 5, R.of_topic("Gardening") & (F.col("subtopic") != ""))
 
 
 @query(r"""
@@ -206,45 +236,37 @@ def parse_sub_queries(spark, sf_dir):
 HOPS = "q0 AS (SELECT id AS qid0, min(query) AS query FROM interactions WHERE id % 50 = 0 AND query IS NOT NULL GROUP BY 1), hops AS (SELECT qid0, unnest([query, split_part(query, ' ', -1)]) AS query, unnest([0, 1]) AS hop FROM q0), q AS (SELECT qid0 || '#' || hop AS qid, hops.query, v.embedding AS vector FROM hops LEFT JOIN embeddings v ON v.vec_id = qid0 + hop)"
 
 
-@query(f"""WITH {HOPS}, {_vec()}, {_bm25()}, {LABELS}, {ENT}, {RRF.format(THREE)},
-mh AS (SELECT split_part(qid, '#', 1)::BIGINT AS qid, chunk_key, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM best WHERE rank <= 5 GROUP BY ALL)
-SELECT qid, chunk_key, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_key) AS rank FROM mh) WHERE rank <= 5""")
-def search_multi_hop(spark, sf_dir):
-    """Each query as two hops: itself, and its last word."""
-    q = queries(spark, sf_dir).select("qid", F.posexplode(F.array("query", F.element_at(F.split("query", " "), -1))).alias("hop", "query"))
-    v = vectors(spark, sf_dir).withColumnRenamed("chunk_key", "vid")
-    sub = q.join(v, F.col("vid") == F.col("qid") + F.col("hop"), "left").select("qid", "hop", "query", "vector")
-    return R.multi_hop(chunks(spark, sf_dir), vectors(spark, sf_dir), sub, 5)
+PARENT = "split_part(qid, '#', 1)::BIGINT"
 
 
-@query(f"""WITH {Q}, {_bm25(most=1)}, t AS (SELECT qid, c.* FROM fts JOIN {CHUNKS} c USING (chunk_key)),
-n AS (SELECT qid, r.chunk_key, r.id, length(r.text) // 4 AS tokens, row_number() OVER (PARTITION BY qid ORDER BY r.start_sec, r.chunk_index, r.chunk_key) AS k FROM t JOIN {CHUNKS} r ON t.collection = r.collection AND t.episode_num = r.episode_num
-  AND CASE WHEN t.end_sec > 0 THEN r.start_sec BETWEEN greatest(0, t.start_sec - 150) AND t.start_sec + 150 ELSE r.chunk_index BETWEEN greatest(0, t.chunk_index - 5) AND t.chunk_index + 5 END)
-SELECT qid, chunk_key, tokens::INTEGER AS tokens, k::INTEGER AS place FROM n""")
+@query(f"""WITH {HOPS}, {_search(PARENT)}, mh AS (SELECT {PARENT} AS qid, chunk_key, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM res GROUP BY ALL),
+fin AS (SELECT qid, chunk_key, 1.0::DOUBLE AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_key) AS rank FROM mh) WHERE rank <= 5), {_around('fin')}""")
+def search_multi_hop(spark, sf_dir):
+    """Each query as two hops, itself and its last word, through the whole pipeline; the text around the results comes once, at the end."""
+    q = queries(spark, sf_dir)
+    hops = q.select("qid", F.posexplode(F.array("query", F.element_at(F.split("query", " "), -1))).alias("hop", "query"))
+    v = vectors(spark, sf_dir).withColumnRenamed("chunk_key", "vid")
+    sub = hops.join(v, F.col("vid") == F.col("qid") + F.col("hop"), "left").select("qid", "hop", "query", "vector")
+    ratings = feedback.chunk_ratings(table(spark, sf_dir, "interactions"))
+    return _hashed(R.multi_hop(chunks(spark, sf_dir), vectors(spark, sf_dir), q, sub, 5, ratings=ratings, seen=_seen(spark, sf_dir), around=True))
+
+
+@query(f"""WITH RECURSIVE {Q}, {_bm25(most=1)}, {RATINGS}, {FETCHED}, t AS (SELECT qid, (qid // 50) % 3 AS d, 120 * ((qid // 150) % 3 + 1) AS amount, c.* FROM fts JOIN {CHUNKS} c USING (chunk_key)),
+b AS (SELECT *, CASE WHEN timed THEN start_sec ELSE chunk_index END AS spot, CASE WHEN NOT timed THEN greatest(2, amount // 60) WHEN d = 0 THEN amount // 2 ELSE amount END AS reach FROM (SELECT *, start_sec > 0 OR end_sec > 0 AS timed FROM t)),
+n AS (SELECT b.qid, r.chunk_key, (length(r.text) // 4)::INTEGER AS tokens, row_number() OVER (PARTITION BY b.qid ORDER BY r.start_sec, r.chunk_index, r.chunk_key) AS k FROM b JOIN {CHUNKS} r ON b.collection = r.collection AND b.episode_num = r.episode_num
+  AND CASE WHEN timed THEN r.start_sec ELSE r.chunk_index END BETWEEN CASE WHEN d = 2 THEN spot ELSE greatest(0, spot - reach) END AND CASE WHEN d = 1 THEN spot ELSE spot + reach END
+  WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.qid = b.qid AND h.chunk_id = r.id)),
+pg AS (SELECT qid, chunk_key, tokens, k, tokens AS filled, 1 AS page FROM n WHERE k = 1
+  UNION ALL SELECT n.qid, n.chunk_key, n.tokens, n.k, CASE WHEN filled + n.tokens > 400 THEN n.tokens ELSE filled + n.tokens END, CASE WHEN filled + n.tokens > 400 THEN page + 1 ELSE page END FROM pg JOIN n ON n.qid = pg.qid AND n.k = pg.k + 1)
+SELECT qid, chunk_key, tokens, k::INTEGER AS place, page::INTEGER AS page FROM pg""")
 def get_context(spark, sf_dir):
-    """What stands around the best hit of each query: 150 seconds or 5 chunks to either side."""
-    from pyspark.sql import Window
-
-    from corpusmill.operators import store
-
+    """What stands around, before or after the best hit of each query, in pages of 400 tokens, without what the session has fetched lately."""
     c = chunks(spark, sf_dir)
     best = R.bm25(c, "chunk_key", "text", queries(spark, sf_dir), "qid", "query", 1).select("qid", "chunk_key")
-    slim = c.select("chunk_key", "collection", "episode_num", "start_sec", "end_sec", "chunk_index", T.token_estimate(F.col("text")).alias("tokens"))
-    t = best.join(slim, "chunk_key").drop("tokens")
-    near = store.neighbors(t.where("end_sec > 0"), slim, "start_sec", 150).unionByName(store.neighbors(t.where("end_sec <= 0"), slim, "chunk_index", 5))
-    w = Window.partitionBy("qid").orderBy("r_start_sec", "r_chunk_index", "r_chunk_key")
-    return near.select("qid", F.col("r_chunk_key").alias("chunk_key"), F.col("r_tokens").alias("tokens"), F.row_number().over(w).alias("place"))
-
-
-@query(f"""WITH {LABELS.replace(TAGS.format('keywords'), '[]').replace(TAGS.format('concept_tags'), '[]')}, e AS (SELECT chunk_key, unnest(labels) AS name FROM lab),
-m AS (SELECT t.chunk_key, r.chunk_key AS related_key, count(*) AS match_count FROM e t JOIN e r ON t.name = r.name AND t.chunk_key <> r.chunk_key WHERE t.chunk_key % 50 = 0 GROUP BY ALL)
-SELECT chunk_key, related_key, match_count, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY chunk_key ORDER BY match_count DESC, related_key) AS rank FROM m) WHERE rank <= 10""")
-def find_related(spark, sf_dir):
-    """The ten chunks that share the most names with each queried chunk."""
-    e = chunks(spark, sf_dir).select("chunk_key", F.explode(F.array_distinct(R.entity_names(F.col("entities")))).alias("name"))
-    t = e.where("chunk_key % 50 = 0").select(F.col("chunk_key").alias("q"), "name")
-    m = t.join(e, "name").where("q <> chunk_key").groupBy("q", "chunk_key").agg(F.count("*").alias("match_count"))
-    return R.ranked(m, "q", "match_count", "chunk_key", 10).select(F.col("q").alias("chunk_key"), F.col("chunk_key").alias("related_key"), "match_count", "rank")
+    way = F.pmod(F.floor(F.col("qid") / 50), F.lit(3))
+    t = best.join(c.select("chunk_key", "collection", "episode_num", "start_sec", "end_sec", "chunk_index"), "chunk_key").withColumns({"direction": F.when(way == 0, "around").when(way == 1, "before").otherwise("after"), "amount": (120 * (F.pmod(F.floor(F.col("qid") / 150), F.lit(3)) + 1)).cast("int")})
+    found = R.context(t.withColumnRenamed("qid", "tid"), c, _seen(spark, sf_dir).withColumnRenamed("qid", "tid"), 400)
+    return found.withColumnRenamed("tid", "qid")
 
 
 @query(f"WITH {Q}, {_vec(most=10)}, {_bm25(most=10)} SELECT fts.qid, round(100.0 * count(vec.chunk_key) / count(*), 4)::DOUBLE AS overlap FROM fts LEFT JOIN vec ON vec.qid = fts.qid AND vec.chunk_key = fts.chunk_key GROUP BY 1")

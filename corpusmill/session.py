@@ -49,11 +49,47 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it's removed when the driver's process ends."""
+    path = f"{shared_dir(spark)}/corpusmill-{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+_FOLDERS: set[str] = set()
+_ONCE: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, key: tuple, build):
+    """What ``build`` gives, built once for each application and key: for tables written by ``materialize`` that many queries read."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _ONCE:
+        _ONCE[key] = build()
+    return _ONCE[key]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _FOLDERS.discard(path)
+    except Exception:  # the session may have ended; what is left belongs to no application that runs
+        pass
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove the tables that ``materialize`` wrote. No result that was made before can be read any more, so call it between jobs of a long session."""
+    _ONCE.clear()
+    _remove(spark, _own_folder(spark))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut there and
-    a lost executor costs nothing that was written."""
+    a lost executor costs nothing that was written. ``clean_up``, or the end of the driver, removes what was written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
