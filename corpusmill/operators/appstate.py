@@ -124,3 +124,77 @@ def sub_queries(provider: Provider | None, question: str, parse: Callable[[str],
     except Exception:  # a model that can't be reached leaves a plain search
         return [question]
     return found if len(found) > 1 else [question]
+
+
+INTERACTIONS = "id long, session_id string, occurred_at timestamp, action string, query string, chunk_ids_shown string, chunk_ids_fetched string, chunk_ids_ignored string, chunk_ids_rated string, rating int, metadata_json string"
+# What a session can do.
+ACTIONS = ("search", "search_deep", "get_context", "rate_result", "find_related", "reset_session")
+
+
+def new_interaction(session: str, action: str, query: str | None = None, shown: list[str] | None = None, fetched: list[str] | None = None, rated: list[str] | None = None, rating: int | None = None, metadata: dict | None = None, at: datetime | None = None) -> tuple:
+    """A row of ``INTERACTIONS``; what was shown and not fetched, when something was, counts as ignored. Ratings are derived from these rows (``feedback.chunk_ratings``)."""
+    if action not in ACTIONS:
+        raise ValueError(f"unknown action: {action}")
+    ignored = [x for x in shown or [] if x not in set(fetched)] if fetched else []
+    text = lambda x: json.dumps(x) if x else None
+    return (uuid.uuid4().int >> 65, session, at or now(), action, query, text(shown), text(fetched), text(ignored), text(rated), rating, text(metadata))
+
+
+def new_ingest(collection: str, path: str, status: str = "started", chunks: int = 0, error: str | None = None, at: datetime | None = None) -> tuple:
+    """A row of ``INGESTS``."""
+    return (collection, path, status, chunks, at or now(), error)
+
+
+def ingest_states(log: DataFrame) -> DataFrame:
+    """collection, source_path, status, chunks, started_at, completed_at and error of each collection's latest ingest: it began with the last "started", and is complete once it is done or has failed."""
+    began = log.where("status = 'started'").groupBy("collection").agg(F.max("at").alias("started_at"))
+    last = latest(log, ["collection"], ["at"])
+    return last.join(began, "collection", "left").select("collection", "source_path", "status", "chunks", "started_at", F.when(F.col("status").isin(*ENDED), F.col("at")).alias("completed_at"), "error")
+
+
+def resumed_session(sessions: DataFrame, messages: list[dict[str, str]], session: str | None = None, at: datetime | None = None) -> tuple[str, tuple | None]:
+    """(id, new row or None): the session of that id if it exists, else a new one whose title is the first 80 characters of the first user message."""
+    if session is not None and not sessions.where(F.col("id") == session).isEmpty():
+        return session, None
+    title = next((m["content"][:80] for m in messages if m["role"] == "user" and m["content"]), "New Chat")
+    row = new_session(title, at=at)
+    return row[0], row
+
+
+def chat(provider: Provider, sessions: DataFrame, messages: list[dict[str, str]], find: Callable[[str], tuple[str, list[dict]]], session: str | None = None, at: datetime | None = None) -> tuple[str, list[tuple], list[tuple]]:
+    """(reply, session rows to append, message rows to append): an answer from sources, with both sides of the exchange kept. ``find`` gives the context and the sources of a question; if it fails the answer has none."""
+    asked = next((m["content"] for m in reversed(messages) if m["role"] == "user"), "")
+    try:
+        context, sources = find(asked)
+    except Exception:  # an answer without sources is better than none
+        context, sources = "", []
+    reply = answer(provider, messages, lambda _: context)
+    own, row = resumed_session(sessions, messages, session, at)
+    t = at or now()
+    return reply, [row] if row else [], [new_message(own, "user", asked, at=t), new_message(own, "assistant", reply, sources, at=t)]
+
+
+def instructions(collections: DataFrame, chunks: int, cross_source: int, provider: str | None = None) -> str:
+    """What the store holds, for an agent: chunks, collections (the first five names), topics in order, entities in several sources. A store without collections says so."""
+    names = [r[0] for r in collections.select("collection_display").orderBy("collection").limit(6).collect()]
+    if not names:
+        return "Nothing is indexed yet."
+    topics = [r[0] for r in collections.where("topic <> ''").select("topic").distinct().orderBy("topic").collect()]  # topics are few
+    n = collections.select("collection").distinct().count()
+    parts = [f"{chunks} chunks in {n} collections ({', '.join(names[:5])}{', ...' if len(names) > 5 else ''})."]
+    parts += [f"Topics: {', '.join(topics)}."] if topics else []
+    parts += [f"{cross_source} entities connect several sources."] if cross_source else []
+    parts += [] if provider else ["No model is active: only plain search."]
+    return " ".join(parts)
+
+
+def ingest_all(sources: list[tuple[str, str]], run: Callable[[str, str], int], at: Callable[[], datetime] = now) -> list[tuple]:
+    """Rows of ``INGESTS`` of a batch of (collection, path), each run in turn; one that fails doesn't stop the others."""
+    log = []
+    for collection, path in sources:
+        log.append(new_ingest(collection, path, at=at()))
+        try:
+            log.append(new_ingest(collection, path, "done", run(collection, path), at=at()))
+        except Exception as e:
+            log.append(new_ingest(collection, path, "failed", error=f"{type(e).__name__}: {e}"[:500], at=at()))
+    return log

@@ -123,6 +123,12 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"term string, {key} {_kind(docs, key)}, dl int, tf long")
 
 
+def update_postings(path: str, chunks: DataFrame, text: str = "text") -> None:
+    """Bring the stored inverted index up to date for the episodes of ``chunks``: only the parts that hold them are rewritten, as in the store of chunks. A row has collection, episode_num, term, chunk_key, dl and tf."""
+    where = chunks.select("chunk_key", "collection", "episode_num")
+    store.replace_episodes(path, postings(chunks, "chunk_key", text).join(where, "chunk_key"))
+
+
 class TermBlock:
     """The distinct terms of a block of queries, and which queries have each."""
 

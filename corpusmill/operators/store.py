@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusmill.functions import text as T
+from corpusmill.session import materialize
 
 # The columns of a metadata scan and of a compact result.
 METADATA = "id title summary entities keywords concept_tags importance collection episode_title source_type section_heading chapter".split()
@@ -142,16 +143,92 @@ def without(chunks: DataFrame, collection: str, episode: int | None = None) -> D
     return chunks.where(~(gone if episode is None else gone & (F.col("episode_num") == episode)))
 
 
-def replace_episodes(chunks: DataFrame, path: str, incoming: DataFrame) -> str:
-    """Write the store anew with the incoming chunks in place of their episodes; gives the new folder.
+#: Parts of a collection in the store: an episode belongs to one, so an ingest rewrites only that.
+EPISODE_BUCKETS = 64
 
-    The store at ``path`` is only read: readers of the old folder aren't disturbed, and a failed write leaves nothing behind that is read.
-    """
-    touched = incoming.select("collection", "episode_num").distinct()
-    new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    kept = chunks.join(touched, ["collection", "episode_num"], "left_anti")
-    kept.unionByName(incoming, allowMissingColumns=True).write.partitionBy("collection").parquet(new)
-    return new
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn("episode_bucket", F.pmod("episode_num", F.lit(EPISODE_BUCKETS)))
+
+
+def write_store(chunks: DataFrame, path: str) -> None:
+    """A new store: Parquet by collection and bucket of episodes."""
+    _bucketed(chunks).repartition("collection", "episode_bucket").write.partitionBy("collection", "episode_bucket").mode("errorifexists").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The store's chunks; filters on collection read only its folders."""
+    return spark.read.parquet(path).drop("episode_bucket")
+
+
+def _rewrite(rows: DataFrame, path: str) -> None:
+    """Write the parts of the store that ``rows`` are in, whole, in place of what they were; ``rows`` are written out first, as they were read from there."""
+    held = materialize(_bucketed(rows), "store-parts")
+    held.write.partitionBy("collection", "episode_bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def _touched(stored: DataFrame, keys: DataFrame) -> DataFrame:
+    """The stored chunks of the parts that the keys (collection, episode_num) are in. An ingest's keys are few, so Spark prunes the folders by them."""
+    parts = _bucketed(keys).select("collection", "episode_bucket").distinct()
+    return stored.join(F.broadcast(parts) if keys.count() <= BROADCAST_KEYS else parts, ["collection", "episode_bucket"], "left_semi")
+
+
+#: Keys of an ingest up to which they're broadcast.
+BROADCAST_KEYS = 100_000
+
+
+def replace_episodes(path: str, incoming: DataFrame) -> None:
+    """Put the incoming chunks in place of their episodes (all of an episode's chunks come at once). Only the parts of the store that hold these episodes are read and rewritten; others aren't touched.
+
+    A store that isn't there is made. Columns that the incoming chunks lack are null."""
+    spark = incoming.sparkSession
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:
+        write_store(incoming, path)
+        return
+    keys = incoming.select("collection", "episode_num").distinct()
+    kept = _touched(stored, keys).join(keys, ["collection", "episode_num"], "left_anti").drop("episode_bucket")
+    _rewrite(kept.unionByName(incoming, allowMissingColumns=True).select(*kept.columns), path)
+
+
+def delete_from_store(spark: SparkSession, path: str, collection: str, episode: int | None = None) -> None:
+    """Delete a collection, or one of its episodes: folders that are left empty are removed, the part of an episode that shares its folder is rewritten."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = where(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    escaped = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(collection)
+    folder = f"{path.rstrip('/')}/collection={escaped}"
+    if episode is None:
+        files.delete(where(folder), True)
+        return
+    own = spark.read.parquet(path).where((F.col("collection") == collection) & (F.col("episode_bucket") == episode % EPISODE_BUCKETS)).drop("episode_bucket")
+    left = own.where(F.col("episode_num") != episode)
+    if left.isEmpty():
+        files.delete(where(f"{folder}/episode_bucket={episode % EPISODE_BUCKETS}"), True)
+    else:
+        _rewrite(left, path)
+
+
+def ingest(path: str, incoming: DataFrame, scope: str = "collection") -> DataFrame:
+    """Add an ingest's chunks: those whose text is new (see ``new_chunks``) replace their episodes; gives them. An episode of which nothing is new is emptied, so nothing old stays."""
+    spark = incoming.sparkSession
+    try:
+        stored = read_store(spark, path)
+    except AnalysisException:
+        stored = incoming.limit(0)
+    added = materialize(new_chunks(incoming, stored, scope), "store-incoming")
+    empty = incoming.select("collection", "episode_num").distinct().join(added, ["collection", "episode_num"], "left_anti")
+    for r in empty.toLocalIterator():  # a row an episode of the ingest
+        delete_from_store(spark, path, r.collection, r.episode_num)
+    replace_episodes(path, added)
+    return added
+
+
+def compact(spark: SparkSession, path: str, collection: str) -> None:
+    """Rewrite a collection's folders with one file each."""
+    own = spark.read.parquet(path).where(F.col("collection") == collection).drop("episode_bucket")
+    held = materialize(_bucketed(own), "store-parts").repartition("collection", "episode_bucket")
+    held.write.partitionBy("collection", "episode_bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def source_location() -> Column:

@@ -115,3 +115,25 @@ def intro_overview(spark, sf_dir):
 def tag_counts(spark, sf_dir):
     tags = chunks(spark, sf_dir).select(F.explode(F.array_distinct(T.tag_list(F.col("concept_tags")))).alias("tag"))
     return tags.groupBy("tag").agg(F.count("*").alias("chunks")).orderBy(F.col("chunks").desc(), "tag").limit(15)
+
+
+@query(f"""WITH c AS (SELECT topic, subtopic, collection, collection_display, count(DISTINCT episode_num || chr(0) || episode_title) AS episode_count FROM {CHUNKS} GROUP BY ALL),
+s AS (SELECT collection, arg_min(text, extract_id) AS overview, count(*)::INTEGER AS parts FROM (SELECT extract_id, collection, sections[1].text AS text FROM extracted_documents WHERE len(sections) > 0 AND sections[1].text IS NOT NULL) GROUP BY 1)
+SELECT c.*, coalesce(md5(s.overview), '') AS overview_md5, coalesce(s.parts, 0) AS parts FROM c LEFT JOIN s ON s.collection = c.collection""")
+def collection_details(spark, sf_dir):
+    """Every collection with what its archive says of it: here, the first section of its first extracted document as overview."""
+    from corpusmill.operators import store
+
+    c = store.list_collections(chunks(spark, sf_dir)).drop("episodes")
+    d = table(spark, sf_dir, "extracted_documents").where(F.size("sections") > 0).select("collection", "extract_id", F.col("sections")[0]["text"].alias("text")).where("text IS NOT NULL")
+    s = d.groupBy("collection").agg(F.min_by("text", "extract_id").alias("overview"), F.count("*").cast("int").alias("parts"))
+    return c.join(s, "collection", "left").select("topic", "subtopic", "collection", "collection_display", "episode_count", F.coalesce(F.md5("overview"), F.lit("")).alias("overview_md5"), F.coalesce("parts", F.lit(0)).alias("parts"))
+
+
+@query(f"""WITH g AS (SELECT id, session_id, query, row_number() OVER (PARTITION BY session_id ORDER BY occurred_at, id) AS n, count(*) OVER (PARTITION BY session_id) AS searches FROM (SELECT DISTINCT id, session_id, occurred_at, query FROM interactions WHERE query IS NOT NULL))
+SELECT session_id, substr(query, 1, 80) AS title, searches FROM g WHERE n = 1""")
+def session_titles(spark, sf_dir):
+    """A title for each session of the log: the first 80 characters of what it asked first."""
+    g = table(spark, sf_dir, "interactions").where("query IS NOT NULL").select("id", "session_id", "occurred_at", "query").distinct()
+    first = g.groupBy("session_id").agg(F.min_by("query", F.struct("occurred_at", "id")).alias("q"), F.count("*").alias("searches"))
+    return first.select("session_id", F.substring("q", 1, 80).alias("title"), "searches")

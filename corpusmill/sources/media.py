@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as T
+from corpusmill.operators import chunking
+
 Segment = tuple[float, float, str]
 _CLOCK = r"(\d+):(\d{2}):(\d{2})[,.](\d{1,3})"
 _SRT = re.compile(rf"{_CLOCK}\s*-->\s*{_CLOCK}")
@@ -56,3 +61,46 @@ def read_srt(spark: SparkSession, folder: str) -> DataFrame:
     rows = blocks.where(F.col("block").rlike(_SRT.pattern)).select("path", "n", time(1).alias("start"), time(5).alias("end"), words.alias("text")).where("text <> ''")
     folders = files.select("path").distinct().withColumn("episode_num", F.row_number().over(Window.partitionBy(F.regexp_replace("path", "[^/]*$", "")).orderBy("path")))
     return rows.join(folders, "path").select("path", "episode_num", "start", "end", "text")
+
+
+def media_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, episode_num (place in the folder, from 1, by name), episode_title and srt_path (null without a subtitle file of that name) of the audio and video files of a folder. Contents aren't read."""
+    from pyspark.sql import Window
+
+    files = spark.read.format("binaryFile").load(folder).select("path")
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    media = files.where(T.source_type_of(F.col("path")) == "audio").select("path", stem.alias("stem"))
+    subtitles = files.where(F.lower("path").endswith(".srt")).select(stem.alias("stem"), F.col("path").alias("srt_path"))
+    number = F.row_number().over(Window.partitionBy(F.regexp_replace("path", "[^/]*$", "")).orderBy("path"))
+    return media.withColumn("episode_num", number).join(subtitles, "stem", "left").select("path", "episode_num", F.regexp_extract("stem", "[^/]*$", 0).alias("episode_title"), "srt_path")
+
+
+def windows(duration: float, size: float = 30.0) -> list[tuple[float, float]]:
+    """The stretches of a recording that are transcribed one at a time: ``size`` seconds each, the last shorter."""
+    n = max(0, -int(-duration // size))
+    return [(k * size, min(duration, (k + 1) * size)) for k in range(n)]
+
+
+def transcribed(duration: float, recognise: Callable[[float, float], str], size: float = 30.0) -> list[Segment]:
+    """Segments of a recording by a speech model over its windows; silent ones are left out. If all are, the whole is tried once more."""
+    found = [(a, b, t) for a, b in windows(duration, size) if (t := (recognise(a, b) or "").strip())]
+    if found or duration <= 0:
+        return found
+    whole = (recognise(0.0, duration) or "").strip()
+    return [(0.0, duration, whole)] if whole else []
+
+
+def ingest_srt(spark: SparkSession, folder: str, collection: str, topic: str = "", subtopic: str = "", source_type: str = "video") -> DataFrame:
+    """Chunks of a folder of subtitle files: a file is an episode, in the order of names, cut into overlapping windows; topics are in lower case, the url is the file's path."""
+    rows = read_srt(spark, folder)
+    found = chunking.chunk_segments(rows, ["path", "episode_num"], "start", "end", "text", [])
+    title = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
+    at = F.col("start_sec").cast("int")
+    return found.select(F.lit(sanitized(collection)).alias("collection"), F.lit(collection).alias("collection_display"), F.lit(topic.lower()).alias("topic"), F.lit(subtopic.lower()).alias("subtopic"), "episode_num", title.alias("episode_title"), F.col("path").alias("url"),
+        F.lit(source_type).alias("source_type"), "chunk_index", "text", at.alias("start_sec"), F.col("end_sec").cast("int").alias("end_sec"), F.when(at > 0, T.fmt_timestamp(at)).otherwise("").alias("time_label"), T.content_hash(F.col("text")).alias("content_hash"))
+
+
+def sanitized(name: str) -> str:
+    """``text.sanitize`` of a name."""
+    plain = re.sub(r'[<>:"/\\|?*\x00-\x1f]', "", name).strip()
+    return re.sub(r"\s+", "_", plain)[:80]

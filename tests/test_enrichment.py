@@ -121,18 +121,19 @@ class Names:
         return [(w, "PERSON") for w in text.split() if w.istitle()]
 
 
+class Says:
+    def chat(self, messages, model=None):
+        if "few" in messages[0]["content"]:
+            raise RuntimeError("no")
+        return " About. "
+
+
 def test_keywords_entities_tags_and_prefixes(spark):
     df = table(spark, [(1, "c", 1, 0, "Anna met Anna and Bert near the old mill while lamp lamp lamp burned low there"), (2, "c", 1, 1, "few"), (3, "c", 1, 2, None)])
     got = {r.chunk_key: r for r in E.programmatic(df, Names()).collect()}
     assert json.loads(got[1].entities) == [{"name": "Anna", "type": "PERSON"}, {"name": "Bert", "type": "PERSON"}] and got[1].keywords.startswith("lamp, ") and got[3].entities == "" and got[2].keywords == ""
     assert [r.k for r in df.select(E.with_tags(F.lit(""), ["a", "b"]).alias("k")).limit(1).collect()] == ["a, b"] and df.select(E.with_tags(F.lit("z"), list("abcdefghij")).alias("k")).first().k == "z, a, b, c, d, e, f, g, h"
 
-    class Says:
-        def chat(self, messages, model=None):
-            if "few" in messages[0]["content"]:
-                raise RuntimeError("no")
-            return " About. "
-
     texts = {r.chunk_key: r.text for r in E.with_prefixes(df.where("chunk_key < 3"), E.Asker(Says())).collect()}
     assert texts[1].startswith("About.\n\nAnna") and texts[2] == "few"
 

@@ -18,12 +18,13 @@ def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
 
-def test_short_section_takes_the_longest_ones_metadata():
-    s = [{"title": "Intro", "text": "w " * 30, "page_num": 1}, {"title": "Real Section", "text": "w " * 200, "page_num": 25}]
-    assert [(h, p) for _, h, p, _ in chunking._sections(s, 512)] == [("Real Section", 25)]
-    s = [{"title": "Intro", "text": "w " * 10, "page_num": 1, "chapter": "c1"}, {"title": "", "text": "w " * 40, "page_num": 9, "chapter": "c9"}]
-    assert [(h, p, c) for _, h, p, c in chunking._sections(s, 512)] == [("Intro", 9, "c9")]
-    assert list(chunking._sections(None, 512)) == [] and list(chunking._sections([None, {"title": "x", "text": " "}], 512)) == []
+def test_short_sections_join_under_the_longest():
+    short, long = "a b c " * 8, "d e f " * 90
+    s = [{"title": "Foreword", "text": short, "page_num": 3, "chapter": "front"}, {"title": "Harvest", "text": long, "page_num": 11, "chapter": "body"}]
+    assert [(h, p, c) for _, h, p, c in chunking._sections(s, 512)] == [("Harvest", 11, "body")]
+    s[1]["title"] = ""  # the longest has no title: its page and chapter stand under the other's
+    assert [(h, p, c) for _, h, p, c in chunking._sections(s, 512)] == [("Foreword", 11, "body")]
+    assert list(chunking._sections(None, 512)) == [] and list(chunking._sections([None, {"title": "t", "text": "\n"}], 512)) == []
 
 
 def test_windows_overlap():
@@ -80,16 +81,29 @@ def test_valid_heading(spark, title, ok):
     assert one(spark, T.valid_heading(F.lit(title))) is ok
 
 
-def test_store_of_episodes(spark, tmp_path):
-    rows = [(1, "c", 1, "old"), (2, "c", 2, "keep"), (3, "d", 1, "other")]
-    df = spark.createDataFrame(rows, "chunk_key long, collection string, episode_num int, text string")
-    new = store.replace_episodes(df, str(tmp_path / "s"), spark.createDataFrame([(9, "c", 1, "new")], df.schema))
-    assert {(r.chunk_key, r.text) for r in spark.read.parquet(new).collect()} == {(2, "keep"), (3, "other"), (9, "new")}
+def test_new_chunks(spark):
+    df = spark.createDataFrame([(1, "c", 1, "old"), (2, "c", 2, "keep"), (3, "d", 1, "other")], "chunk_key long, collection string, episode_num int, text string")
     incoming = spark.createDataFrame([(5, "c", 3, "keep"), (6, "c", 2, "keep"), (7, "c", 3, None)], df.schema)
     assert {r.chunk_key for r in store.new_chunks(incoming, df).collect()} == {6, 7}
     assert {r.chunk_key for r in store.new_chunks(incoming, df, "global").collect()} == {7}
 
 
+def test_titles_without_page_numbers(spark):
+    assert one(spark, T.clean_title(F.lit("Chapter 2: Rivers  17 "))) == "Chapter 2: Rivers"
+
+
+def test_running_counts_and_memory(spark, tmp_path):
+    rows = [(1, "a", "2024-01-01 00:00:00"), (1, "b", "2024-01-01 00:10:00"), (1, "a", "2024-01-01 01:00:00"), (2, "a", "2024-01-01 00:00:00")]
+    spark.createDataFrame(rows, "user_id long, item string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user_id long, item string, ts timestamp").parquet(str(tmp_path / "in"))
+    for name, df, mode in (("counts", sessions.running_counts(stream, "user_id", "item"), "complete"), ("memory_of", sessions.remembered(stream, "user_id", "item", "ts"), "update")):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
+        q.processAllAvailable()
+        q.stop()
+    assert {tuple(r) for r in spark.table("counts").collect()} == {(1, "a", 2), (1, "b", 1), (2, "a", 1)}
+    assert {tuple(r) for r in spark.table("memory_of").collect()} == {(1, 1), (2, 1)}
+
+
 def test_contents_go_on_over_episodes(spark):
     rows = [(1, 1, 0, "A"), (2, 1, 1, "B"), (3, 2, 0, "B"), (4, 3, 0, "B"), (5, 3, 1, "A"), (6, 4, 0, "A")]
     df = spark.createDataFrame([(k, "c", e, i, h, "", f"id{k}", "text", "x" * 8) for k, e, i, h in rows], "chunk_key long, collection string, episode_num int, chunk_index int, section_heading string, chapter string, id string, source_type string, text string")
