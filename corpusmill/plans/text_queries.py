@@ -303,9 +303,9 @@ def _paged(spark, sf_dir):
 @query(rf"""WITH m AS (SELECT extract_id, {PAGED} AS md FROM extracted_documents WHERE len(sections) > 0),
 l AS (SELECT extract_id, md, unnest(range(1, len(string_split(md, chr(10))) + 1)) AS n, string_split(md, chr(10)) AS ls FROM m),
 k AS (SELECT extract_id, n, ls[n] AS line, CASE WHEN regexp_matches(ls[n], '^#{{1,3}}[ 	]+.') THEN 1 ELSE 0 END AS head, try_cast(regexp_extract(ls[n], '<!--PAGE:(\d+)-->', 1) AS INTEGER) AS page FROM l),
-w AS (SELECT *, sum(head) OVER (PARTITION BY extract_id ORDER BY n) AS sec, last_value(page IGNORE NULLS) OVER (PARTITION BY extract_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS at FROM k),
-s AS (SELECT extract_id, sec, max(CASE WHEN head = 1 THEN trim(regexp_replace(line, '^#+[ 	]+', '')) END) AS title, max(CASE WHEN head = 1 THEN at END) AS page_num,
-  {STRIP.format("regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (head = 0), ''), '<!--PAGE:\d+-->', '', 'g')")} AS body FROM w GROUP BY ALL)
+w AS (SELECT *, sum(head) OVER (PARTITION BY extract_id ORDER BY n) AS sec, last_value(page IGNORE NULLS) OVER (PARTITION BY extract_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS pg FROM k),
+s AS (SELECT extract_id, sec, max(CASE WHEN head = 1 THEN trim(regexp_replace(line, '^#+[ 	]+', '')) END) AS title, max(CASE WHEN head = 1 THEN pg END) AS page_num,
+  {STRIP.format("regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (head = 0), ''), '<!--PAGE:[0-9]+-->', '', 'g')")} AS body FROM w GROUP BY ALL)
 SELECT extract_id, (row_number() OVER (PARTITION BY extract_id ORDER BY sec) - 1)::INTEGER AS section_no, title, page_num, md5(body) AS body_md5 FROM s WHERE body <> '' AND sec > 0""")
 def pdf_sections(spark, sf_dir):
     """Sections of paged markdown, with the page that each header stands on."""
@@ -315,7 +315,7 @@ def pdf_sections(spark, sf_dir):
     return found.select("extract_id", "section_no", "title", "page_num", F.md5("text").alias("body_md5"))
 
 
-@query(r"""WITH m AS (SELECT extract_id, sections, unnest(range(1, len(sections) + 1)) AS i FROM extracted_documents WHERE len(list_filter(sections, lambda x: x IS NOT NULL)) >= 3),
+@query(r"""WITH m AS (SELECT extract_id, sections, unnest(range(1, len(sections) + 1)) AS i FROM extracted_documents WHERE len(sections) >= 3),
 s AS (SELECT extract_id, i, 'Chapter ' || chr((65 + (i % 2))::INTEGER) || '. Title' AS title, trim(coalesce(sections[i].text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM m),
 r AS (SELECT *, row_number() OVER (PARTITION BY extract_id, title ORDER BY length(body) DESC, i) AS n FROM s WHERE length(body) > 200)
 SELECT extract_id, (row_number() OVER (PARTITION BY extract_id ORDER BY i) - 1)::INTEGER AS section_no, title, md5(body) AS body_md5 FROM r WHERE n = 1""")
@@ -323,8 +323,6 @@ def chapter_sections(spark, sf_dir):
     """Sections by titles of chapters, of which two alternate in each document; of those with one title the longest stays."""
     from corpusmill.sources import pdf
 
-    part = F.transform("sections", lambda s, i: F.concat(F.lit("Chapter "), F.chr(F.lit(65) + F.pmod(i + 1, F.lit(2))), F.lit(". Title
-"), F.coalesce(s["text"], F.lit("")), F.lit("
-")))
+    part = F.transform("sections", lambda s, i: F.concat(F.lit("Chapter "), F.chr(F.lit(65) + F.pmod(i + 1, F.lit(2))), F.lit(". Title\n"), F.coalesce(s["text"], F.lit("")), F.lit("\n")))
     d = table(spark, sf_dir, "extracted_documents").where(F.size("sections") >= 3).select("extract_id", F.array_join(part, "").alias("markdown"))
     return pdf.sections(d, "extract_id", "markdown", pdf.chapter_sections).select("extract_id", "section_no", "title", F.md5("text").alias("body_md5"))
