@@ -222,14 +222,14 @@ def given_names(read: DataFrame) -> DataFrame:
     people = read.where((F.col("last").isNotNull()) & (F.col("persons") > 0) & ~F.col("turned") & (F.length("first") > 1)).select("first", "last").distinct()
     first = people.groupBy(F.col("first").alias("word")).agg(F.count("*").alias("partners"))
     last = people.groupBy(F.col("last").alias("word")).agg(F.count("*").alias("behind"))
-    stands = first.join(last, "word", "left").where((F.col("partners") >= GIVEN_PARTNERS) & (F.col("partners") > F.coalesce("behind", F.lit(0)))).select("word", "partners")
+    stands = _joined(first, last, "word", "left").where((F.col("partners") >= GIVEN_PARTNERS) & (F.col("partners") > F.coalesce("behind", F.lit(0)))).select("word", "partners")
     stands = materialize(stands, "p5-given")
     # spellings one typo apart share a form with one letter left out; a close look at those that meet decides
     left = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, F.length("word"))))
     forms = stands.where(F.length("word") > 4).select("word", "partners", F.explode(F.array_distinct(F.concat(F.array("word"), left))).alias("form"))
-    near = forms.join(forms.select(F.col("word").alias("other"), F.col("partners").alias("many"), "form"), "form").where((F.col("word") != F.col("other")) & (F.col("many") >= MISSPELT * F.col("partners")))
+    near = _joined(forms, forms.select(F.col("word").alias("other"), F.col("partners").alias("many"), "form"), "form").where((F.col("word") != F.col("other")) & (F.col("many") >= MISSPELT * F.col("partners")))
     wrong = near.where(F.levenshtein("word", "other") <= 2).select("word").distinct()
-    return stands.join(wrong, "word", "left_anti").select("word")
+    return _joined(stands, wrong, "word", "left_anti").select("word")
 
 
 def readings(df: DataFrame, column: str, tables: Tables = DEFAULT) -> DataFrame:
@@ -243,7 +243,7 @@ def readings(df: DataFrame, column: str, tables: Tables = DEFAULT) -> DataFrame:
     given = given_names(read)
     nick = F.create_map(*(F.lit(x) for k in sorted(tables.formal) for x in (k, True))) if tables.formal else F.create_map().cast("map<string,boolean>")
     known = lambda c: F.coalesce(nick[F.col(c)], F.lit(False))
-    read = read.join(given.select(F.col("word").alias("first"), F.lit(True).alias("k1")), "first", "left").join(given.select(F.col("word").alias("last"), F.lit(True).alias("k2")), "last", "left")
+    read = _joined(_joined(read, given.select(F.col("word").alias("first"), F.lit(True).alias("k1")), "first", "left"), given.select(F.col("word").alias("last"), F.lit(True).alias("k2")), "last", "left")
     read = read.withColumns({"k1": F.coalesce("k1", F.lit(False)) | known("first"), "k2": F.coalesce("k2", F.lit(False)) | known("last")})
     typed = F.greatest("persons", "orgs", "others") > 0
     short = F.length("first") == 1
@@ -320,11 +320,16 @@ def _check(tables: Tables):
     return run
 
 
+def _joined(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that is shuffled whatever Spark takes the sides' sizes for: both grow with the names, so neither is broadcast."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _settled(root: DataFrame, name: str) -> DataFrame:
     """x, root and score with every chain of roots followed to its end; each round halves the chains and is written out."""
     root = materialize(root, name)
     while True:
-        onward = root.join(root.select(F.col("x").alias("root"), F.col("root").alias("next"), F.col("score").alias("then")), "root")
+        onward = _joined(root, root.select(F.col("x").alias("root"), F.col("root").alias("next"), F.col("score").alias("then")), "root")
         root = materialize(onward.select("x", F.col("next").alias("root"), F.least("score", "then").alias("score"), (F.col("next") != F.col("root")).alias("moved")), name)
         if root.where("moved").isEmpty():
             return root.drop("moved")
@@ -336,7 +341,7 @@ def clusters(df: DataFrame, column: str, tables: Tables = DEFAULT) -> DataFrame:
 
     The score is the rarity of the most common rewriting on the way to the entity: one over the readings that it may stand for; 1 for a name that is its entity's own reading.
     A null, broken or other JSON text has no names; blank names and elements that aren't objects are skipped; an empty table has no rows. Repeated
-    rows only add to the counts, which decide what a typo stands for. Joins are shuffled; Spark broadcasts a side only up to ``spark.sql.autoBroadcastJoinThreshold``, and splits a form that many names share.
+    rows only add to the counts, which decide what a typo stands for. Nothing that grows with the names is broadcast: joins are shuffled, and Spark splits a form that many names share.
     """
     named_ = materialize(readings(df, column, tables).withColumn("node", F.concat_ws("|", "kind", F.when(F.col("rank") == 0, F.concat_ws(".", "g", "m")).otherwise(F.col("g")), "s")), "p5-readings")
     nodes = named_.groupBy("node", "kind", "g", "s", "rank").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set(F.nullif(F.col("m"), F.lit("")))), " ").alias("m"), F.max("given").alias("given"), F.collect_set(F.when(F.col("og").isNotNull(), F.struct("og", "om", "os"))).alias("others"))
@@ -344,48 +349,49 @@ def clusters(df: DataFrame, column: str, tables: Tables = DEFAULT) -> DataFrame:
     forms = nodes.select("node", "kind", "g", "s", "rank", "others").mapInArrow(_forms(tables), "node string, side int, rule string, form string, og string, om string, os string")
     x, y = forms.where("side = 0").select(F.col("node").alias("x"), "rule", "form", "og", "om", "os").distinct(), forms.where("side = 1").select(F.col("node").alias("y"), "rule", "form").distinct()
     leads = y.groupBy("rule", "form").agg(F.count("*").alias("leads"))  # by the keys of the join, so nothing more is shuffled
-    met = x.join(y, ["rule", "form"]).join(leads, ["rule", "form"]).where("x <> y").groupBy("x", "y", "rule", "og", "om", "os").agg((1 / F.min("leads")).alias("rarity"))
+    met = _joined(_joined(x, y, ["rule", "form"]), leads, ["rule", "form"]).where("x <> y").groupBy("x", "y", "rule", "og", "om", "os").agg((1 / F.min("leads")).alias("rarity"))
     side = lambda p: nodes.select(F.col("node").alias(p), *(F.col(c).alias(p + c) for c in ("g", "s", "rank", "n", "m", "given")))
-    edges = met.join(side("x"), "x").join(side("y"), "y").withColumns({"xfirst": F.col("xg"), "xg": F.coalesce("og", "xg"), "xm": F.coalesce("om", "xm"), "xs": F.coalesce("os", "xs")}).select(*(e.split()[0] for e in _EDGE.split(", "))).mapInArrow(_check(tables), _EDGE + ", cost int")
+    edges = _joined(_joined(met, side("x"), "x"), side("y"), "y").withColumns({"xfirst": F.col("xg"), "xg": F.coalesce("og", "xg"), "xm": F.coalesce("om", "xm"), "xs": F.coalesce("os", "xs")}).select(*(e.split()[0] for e in _EDGE.split(", "))).mapInArrow(_check(tables), _EDGE + ", cost int")
     edges = materialize(edges, "p5-edges")
 
     # a typo stands for the more frequent spelling next to it; chains of typos end at the most frequent
     better = (F.col("yrank") > F.col("xrank")) | ((F.col("yrank") == F.col("xrank")) & ((F.col("yn") > F.col("xn")) | ((F.col("yn") == F.col("xn")) & (F.col("y") < F.col("x")))))
     typo = edges.where((F.col("rule") == "t") & better).groupBy("x").agg(F.max_by("y", F.struct("yn", "y")).alias("up"), F.max_by("rarity", F.struct("yn", "y")).alias("rarity"))
-    root = nodes.select(F.col("node").alias("x")).join(typo, "x", "left").select("x", F.coalesce("up", "x").alias("root"), F.coalesce("rarity", F.lit(1.0)).alias("score"))
+    root = _joined(nodes.select(F.col("node").alias("x")), typo, "x", "left").select("x", F.coalesce("up", "x").alias("root"), F.coalesce("rarity", F.lit(1.0)).alias("score"))
     root = _settled(root, "p5-roots")
 
     def lift(rule: str, allowed, root: DataFrame, edges: DataFrame = edges) -> DataFrame:
         """Variants by one rule join the entity that holds ``SURE`` of the rarity of their best rewritings: those of the fewest typos, with agreeing middle initials if any agree."""
-        to = edges.where((F.col("rule") == rule) & allowed).join(root.select(F.col("x").alias("y"), F.col("root").alias("to")), "y")
+        to = _joined(edges.where((F.col("rule") == rule) & allowed), root.select(F.col("x").alias("y"), F.col("root").alias("to")), "y")
         agree = (F.col("xm") != "") & (F.col("ym") != "") & F.exists(F.split("xm", " "), lambda m: F.array_contains(F.split("ym", " "), m))
         differ = (F.col("xm") != "") & (F.col("ym") != "") & ~agree
         to = to.where(~differ).groupBy("x", "to").agg(F.min("cost").alias("cost"), F.max(agree.cast("int")).alias("agree"), F.max("yrank").alias("yrank"), F.max("yn").alias("yn"), F.max("rarity").alias("rarity"))
         best = to.groupBy("x").agg(F.max(F.struct(F.col("agree"), -F.col("cost"), (F.col("yrank") > 1).cast("int"))).alias("best"))
-        to = to.join(best, "x").where((F.col("agree") == F.col("best.agree")) & (F.col("cost") == -F.col("best.col2")) & ((F.col("yrank") > 1).cast("int") == F.col("best.col3")))
+        to = _joined(to, best, "x").where((F.col("agree") == F.col("best.agree")) & (F.col("cost") == -F.col("best.col2")) & ((F.col("yrank") > 1).cast("int") == F.col("best.col3")))
         only = to.groupBy("x").agg(F.sum("rarity").alias("all"), F.max("rarity").alias("rarity"), F.max_by("to", F.struct("rarity", "to")).alias("to")).where(F.col("rarity") >= SURE * F.col("all"))
         moved = only.select(F.col("x").alias("root"), "to", "rarity")
         # whatever stood for the variant moves with it
-        return materialize(root.join(moved, "root", "left").select("x", F.coalesce("to", "root").alias("root"), F.least("score", F.coalesce("rarity", F.lit(1.0))).alias("score")), f"p5-{rule}")
+        return materialize(_joined(root, moved, "root", "left").select("x", F.coalesce("to", "root").alias("root"), F.least("score", F.coalesce("rarity", F.lit(1.0))).alias("score")), f"p5-{rule}")
 
     # of two orders the one stands whose first word is more likely a given name; if both are given names, they may be two persons
     partners = materialize(nodes.where(F.col("kind") == PERSON).groupBy("g").agg(F.countDistinct("s").alias("partners")), "p5-partners")
     of = lambda c: partners.select(F.col("g").alias(c), F.col("partners").alias(c + "_partners"))
-    turned = edges.where((F.col("rule") == "o") & ~(F.col("xgiven") & F.col("ygiven"))).join(of("xfirst"), "xfirst").join(of("yg"), "yg")
+    turned = edges.where((F.col("rule") == "o") & ~(F.col("xgiven") & F.col("ygiven")))
+    turned = _joined(_joined(turned, of("xfirst"), "xfirst"), of("yg"), "yg")
     turned = turned.where(F.struct("ygiven", "yg_partners", "yn", "y") > F.struct("xgiven", "xfirst_partners", "xn", "x"))
     root = lift("o", F.lit(True), root, turned)
     root = lift("n", F.lit(True), root)
     root = lift("i", F.col("yrank") > 0, root)
-    alone = root.where("x = root").select(F.col("root").alias("x")).join(nodes.where("rank = 0").select(F.col("node").alias("x")), "x")
-    left = edges.join(alone, "x", "left_semi").where((F.col("rule") == "i") & (F.col("yrank") == 0) & better & ((F.col("xm") == F.col("ym")) | (F.col("xm") == "")))
+    alone = _joined(root.where("x = root").select(F.col("root").alias("x")), nodes.where("rank = 0").select(F.col("node").alias("x")), "x")
+    left = _joined(edges, alone, "x", "left_semi").where((F.col("rule") == "i") & (F.col("yrank") == 0) & better & ((F.col("xm") == F.col("ym")) | (F.col("xm") == "")))
     up = left.groupBy("x").agg(F.max_by("y", F.struct("yn", "y")).alias("up"), F.max_by("rarity", F.struct("yn", "y")).alias("rarity"))
-    root = root.join(up.withColumnRenamed("x", "root"), "root", "left").select("x", F.coalesce("up", "root").alias("root"), F.least("score", F.coalesce("rarity", F.lit(1.0))).alias("score"))
+    root = _joined(root, up.withColumnRenamed("x", "root"), "root", "left").select("x", F.coalesce("up", "root").alias("root"), F.least("score", F.coalesce("rarity", F.lit(1.0))).alias("score"))
     root = _settled(root, "p5-last")
-    return named_.select("name", F.col("node").alias("x")).join(root, "x").select("name", F.col("root").alias("entity"), "score")
+    return _joined(named_.select("name", F.col("node").alias("x")), root, "x").select("name", F.col("root").alias("entity"), "score")
 
 
 def pairs(df: DataFrame, column: str, tables: Tables = DEFAULT) -> DataFrame:
     """name_a < name_b (by code point): spellings that mean the same person or organisation. ``clusters`` has them as one row per name."""
     found = materialize(clusters(df, column, tables), "p5-clusters")
     a, b = found.select("entity", F.col("name").alias("name_a")), found.select("entity", F.col("name").alias("name_b"))
-    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b").distinct()
+    return _joined(a, b, "entity").where("name_a < name_b").select("name_a", "name_b").distinct()
