@@ -56,9 +56,9 @@ PHRASES = {"llc": "limited liability company", "llp": "limited liability partner
 LEGAL = {"aktiengesellschaft": "AG", "kommanditgesellschaft": "KG"}
 SMALL = frozenset("of and the for".split())
 
-#: A word is a given name if it stands first beside so many different surnames, more than it stands last beside given names, unless
-#: a spelling one typo away has so many times its partners. Both compare counts of one corpus, so they hold at any size.
-GIVEN_PARTNERS, MISSPELT = 2, 5
+#: A word is a given name if it stands first beside so many different surnames, and over twice as many as it stands last behind, unless
+#: a spelling one typo away has so many times its partners. Beyond the first few names, only counts of one corpus are compared.
+GIVEN_PARTNERS, MISSPELT = 3, 5
 #: Part of the rarity of a variant's best rewritings that the entity it joins must hold.
 SURE = 0.9
 PERSON, ORG = "p", "o"
@@ -222,7 +222,7 @@ def given_names(read: DataFrame) -> DataFrame:
     people = read.where((F.col("last").isNotNull()) & (F.col("persons") > 0) & ~F.col("turned") & (F.length("first") > 1)).select("first", "last").distinct()
     first = people.groupBy(F.col("first").alias("word")).agg(F.count("*").alias("partners"))
     last = people.groupBy(F.col("last").alias("word")).agg(F.count("*").alias("behind"))
-    stands = _joined(first, last, "word", "left").where((F.col("partners") >= GIVEN_PARTNERS) & (F.col("partners") > F.coalesce("behind", F.lit(0)))).select("word", "partners")
+    stands = _joined(first, last, "word", "left").where((F.col("partners") >= GIVEN_PARTNERS) & (F.col("partners") > 2 * F.coalesce("behind", F.lit(0)))).select("word", "partners")
     stands = materialize(stands, "p5-given")
     # spellings one typo apart share a form with one letter left out; a close look at those that meet decides
     left = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, F.length("word"))))
