@@ -12,17 +12,19 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import Any, Protocol
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import store
 from corpusmill.operators.retrieval import terms_of
-from corpusmill.session import materialize
+from corpusmill.session import materialize, spread
 
-#: Terms whose counts are sent to all tasks.
-FREQUENT = 100_000
+#: Terms whose counts are sent to all tasks, and the greatest filter of terms of several texts (a power of two of bits: 16 MB), with the tasks that fill it.
+FREQUENT, MOST_BITS, FILTER_TASKS = 100_000, 27, 32
 
 
 class Embedder(Protocol):
@@ -90,11 +92,12 @@ def keywords(df: DataFrame, key: str, text: str, most: int = 6, least_words: int
     """key, keyword, score and rank: the terms and pairs of neighbouring terms of highest tf-idf of each text of ``least_words`` words. Ties go to the smaller text.
 
     How often a term stands in a text is counted within the text, in how many texts with one shuffle of each task's sums. The terms of most texts, ``FREQUENT`` at most, are sent to all tasks, which then know their scores, and bounds of all others;
-    only terms that may be among a text's best, and aren't known yet, are joined with their counts. So no frequent term is shuffled. Scores are exact.
+    a filter of fixed size tells which others stand in one text only. Only terms that may be among a text's best, and aren't
+    known yet, are joined with their counts. So no frequent term is shuffled, and few others. Scores are exact.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    d = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("x"))
+    d = spread(df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("x")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -111,34 +114,55 @@ def keywords(df: DataFrame, key: str, text: str, most: int = 6, least_words: int
                     yield rows()
         yield rows()
 
-    df_ = materialize(d.mapInArrow(count, "keyword string, n long").groupBy("keyword").agg(F.sum("n").alias("df")), "keyword-texts")
+    df_ = materialize(d.mapInArrow(count, "keyword string, n long").groupBy("keyword").agg(F.sum("n").alias("df")).where("df > 1"), "keyword-texts")
     texts = d.count()
-    all_ = df_.agg(F.sum("df")).first()[0] or 0
-    least = max(2, all_ // FREQUENT + 1)  # no more than FREQUENT terms can stand in so many texts
+    several, all_ = df_.agg(F.count("*"), F.sum("df")).first()
+    least = max(2, (all_ or 0) // FREQUENT + 1)  # no more than FREQUENT terms can stand in so many texts
     known = {r.keyword: r.df for r in df_.where(F.col("df") >= least).toLocalIterator()}
-    shared = spark.sparkContext.broadcast(known)
+    size = 1 << min(MOST_BITS, max(10, math.ceil(math.log2(1 + 10 * several))))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for b in batches:
+            bits[[xxhash.xxh3_64_intdigest(g) & (size - 1) for g in b.column(0).to_pylist()]] = True
+        yield pa.record_batch([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bits"])
+
+    repeated = np.zeros(size // 8, np.uint8)  # has the hashes of all terms of two texts or more: others stand in one for sure
+    for r in df_.select("keyword").coalesce(FILTER_TASKS).mapInArrow(fill, "bits binary").toLocalIterator():
+        repeated |= np.frombuffer(bytes(r.bits), np.uint8)
+    shared = spark.sparkContext.broadcast((known, repeated.tobytes()))
     idf = lambda n: math.log((1 + texts) / (1 + n))
-    low, high = idf(least - 1), idf(1)
+    high = idf(1)
 
     def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, repeated = shared.value
         for b in (whole.slice(k, 2_000) for whole in batches for k in range(0, whole.num_rows, 2_000)):
             rows, found, tfs, dfs = [], [], [], []
             for i, x in enumerate(b.column(1).to_pylist()):
-                grams = _grams(x)
-                floor = heapq.nlargest(most, (tf * (idf(known[g]) if g in known else low) for g, tf in grams.items()))
-                floor = floor[-1] - 1e-5 if len(floor) == most else -1.0
-                for g, tf in grams.items():
+                sure, open_ = [], []
+                for g, tf in _grams(x).items():
                     n = known.get(g)
-                    if tf * (high if n is None else idf(n)) >= floor:
-                        rows.append(i)
-                        found.append(g)
-                        tfs.append(tf)
-                        dfs.append(n)
+                    if n is None:
+                        h = xxhash.xxh3_64_intdigest(g) & (size - 1)
+                        if repeated[h >> 3] >> (h & 7) & 1:
+                            open_.append((-tf * high, g, tf, None))
+                            continue
+                        n = 1
+                    sure.append((-tf * idf(n), g, tf, n))
+                best = heapq.nsmallest(most, sure)
+                # scores within rounding of the last sure one stay; of equal scores the smaller text is first
+                bar, last = (best[-1][0] + 1e-5, best[-1]) if len(best) == most else (math.inf, None)
+                kept = [c for c in sure if c[0] <= bar and (last is None or c <= last or c[0] != last[0])]
+                kept += [c for c in open_ if c[0] <= bar and (last is None or c[0] != last[0] or c[1] < last[1])]
+                for _, g, tf, n in kept:
+                    rows.append(i)
+                    found.append(g)
+                    tfs.append(tf)
+                    dfs.append(n)
             yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string()), pa.array(tfs, pa.int64()), pa.array(dfs, pa.int64())], ["k", "keyword", "tf", "known"])
 
     cand = d.where(T.word_count(F.col("x")) >= least_words).mapInArrow(hopeful, f"k {kind}, keyword string, tf long, known long")
-    rare = cand.where("known IS NULL").join(df_, "keyword").select("k", "keyword", "tf", "df")
+    rare = cand.where("known IS NULL").join(df_, "keyword", "left").select("k", "keyword", "tf", F.coalesce("df", F.lit(1)).alias("df"))
     both = cand.where("known IS NOT NULL").select("k", "keyword", "tf", F.col("known").alias("df")).unionByName(rare)
     scored = both.select(F.col("k").alias(key), "keyword", F.round(F.col("tf") * F.log(F.lit(float(1 + texts)) / (1 + F.col("df"))), 6).alias("score"))
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), "keyword")

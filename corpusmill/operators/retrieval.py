@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import store
-from corpusmill.session import materialize
+from corpusmill.session import materialize, spread
 
 # Words that the inverted index leaves out.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -190,7 +190,7 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     spark = docs.sparkSession
     schema = f"{query_key} {_kind(queries, query_key)}, {key} {_kind(docs, key)}, score double"
     wanted = queries.where(F.col(query).isNotNull()).select(query_key, terms(F.col(query)).alias("t"))
-    d = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("x"))
+    d = spread(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("x")))
     out: DataFrame | None = None
     for block in _term_blocks(wanted, query_key, "t"):
         held = spark.sparkContext.broadcast(block)
