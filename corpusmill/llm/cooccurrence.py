@@ -10,6 +10,7 @@ the counts of p-values over all pairs of items.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ EXACT, WIDTH = 2_000, 0.002
 STEPS, CLOSE, FIT_CELLS = 20_000, 1e-6, 4_000_000
 #: Bins of log10 p for the false-discovery rate.
 BINS = 4_000
+#: What ``least_surprise`` allows for: binned frequencies (relative), and the saddlepoint's error (in log10 p).
+BINNED, SADDLE = 0.01, 0.3
 #: Bits of the filter of items that are frequent enough, for each of them, and most bits in all (16 MB).
 FILTER_BITS, MOST_BITS = 10, 1 << 27
 #: Tasks that fill partial filters.
@@ -165,14 +168,19 @@ def _bits(fields: list[str], items: list[str], size: int) -> np.ndarray:
     return np.stack([h & np.uint64(size - 1), (h >> np.uint64(32)) & np.uint64(size - 1)]).astype(np.int64)
 
 
+def _testable(singles: DataFrame, records: dict[str, int], min_shared: int, min_lift: float) -> DataFrame:
+    """The items whose frequency lets them be in a pair of ``min_shared`` records and ``min_lift``."""
+    most = F.create_map(*(F.lit(v) for f, n in records.items() for v in (f, n / min_lift if min_lift else math.inf)))
+    return singles.where((F.col("n") >= min_shared) & (F.col("n") <= most[F.col("field")]))
+
+
 def possible(sets: DataFrame, singles: DataFrame, records: dict[str, int], min_shared: int, min_lift: float) -> DataFrame:
     """The sets without items that can't be in a pair of ``min_shared`` records and ``min_lift``; no pair is lost.
 
     Neither item of such a pair is in fewer than ``min_shared`` records, nor, as shared <= the smaller count, in more than records / min_lift. The kept items go into a filter of fixed
     size (two hash bits each): a false hit only keeps an item that could go.
     """
-    most = F.create_map(*(F.lit(v) for f, n in records.items() for v in (f, n / min_lift if min_lift else math.inf)))
-    kept = singles.where((F.col("n") >= min_shared) & (F.col("n") <= most[F.col("field")]))
+    kept = _testable(singles, records, min_shared, min_lift)
     size = 1 << min(MOST_BITS.bit_length() - 1, max(10, math.ceil(math.log2(1 + FILTER_BITS * kept.count()))))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,34 +215,85 @@ def surprising_pairs(sets: DataFrame, min_shared: int = 2, min_lift: float = 0.0
 
     ``sets`` has field and items (distinct, sorted). Empty baskets don't count; an empty table gives no rows. Frequencies above ``EXACT`` are met to half of ``WIDTH``, 0.1 %: log10_p is then off by at most about a thousandth of shared.
     """
-    spark = sets.sparkSession
+    sets, singles, records = _statistics(sets)
+    models = _models(sets, singles) if tails else {}
+    paired = possible(sets, singles, records, min_shared, min_lift) if records and (min_shared > 1 or min_lift) else sets
+    counted = _limited(_counted(paired, singles, records), min_shared, min_lift)
+    if not tails:
+        return counted.select("field", F.col("a").alias("item_a"), F.col("b").alias("item_b"), "records", "count_a", "count_b", "shared")
+    return _scored(counted, models)
+
+
+def cases(sets: DataFrame, min_shared: int, min_lift: float) -> DataFrame:
+    """The pairs that share ``min_shared`` records and at least ``min_lift`` times what independence gives, found by the null: columns as of ``surprising_pairs`` and rate.
+
+    The tests are the pairs of items whose frequencies, which the null holds fixed, let them be such a pair. All that share a record are scored and ranked, and those go on that Benjamini and
+    Hochberg keep at the rate of ``least_surprise``; the limits, which are exact, are checked last. So no pair within the limits is lost, as it would be at a rate given beforehand.
+    The rate is the expected share of false ones among the pairs up to a pair's p, above 1 where chance gives more than were seen. A field whose null can't be fitted is warned of and only checked by the limits.
+    """
+    sets, singles, records = _statistics(sets)
+    models = _models(sets, singles, needed=False)
+    tested = _testable(singles, records, min_shared, min_lift) if records else singles
+    paired = possible(sets, singles, records, min_shared, min_lift) if records else sets
+    scored = _binned(materialize(_scored(_counted(paired, tested, records), models), "p3-tested"))
+    m = {r.field: r.n * (r.n - 1) / 2 for r in tested.groupBy("field").agg(F.count("*").alias("n")).collect()}
+    rows = []
+    for field, found in _rates(scored, m).items():
+        last = math.floor(10 * least_surprise(models[field], min_shared, min_lift)) if field in models else 0
+        at = max((rate for b, rate in found if b <= last), default=-1.0)
+        rows += [(field, b, rate, rate <= at) for b, rate in found]
+    rates = scored.sparkSession.createDataFrame(rows, "field string, bin int, rate double, kept boolean")
+    kept = scored.join(F.broadcast(rates), ["field", "bin"]).where("kept OR isnan(log10_p)").drop("bin", "kept")  # at most BINS rows a field
+    return _limited(kept, min_shared, min_lift)
+
+
+def least_surprise(model: tuple, min_shared: int, min_lift: float) -> float:
+    """A log10 p under the null that every pair of ``min_shared`` records and ``min_lift`` is at or below; 0 if the null bounds nothing.
+
+    The expected number of common records is at most g * count_a * count_b / records, where g is that ratio for two items of the least frequency: the commoner an item, the less it leans
+    to large records. With the limits that is at most r * shared, r = g / min_lift, and then, by Chernoff's bound for sums of trials, p <= (r * exp(1 - r)) ** shared if r < 1.
+    """
+    c, x, y, n = model
+    p = 1 / (1 + 1 / (np.interp(min_shared, c, x) * y))
+    r = (1 + BINNED) * n.sum() * (n * p * p).sum() / (n * p).sum() ** 2 / max(min_lift, 1e-300)
+    return min(0.0, min_shared * (math.log10(r) + (1 - r) / math.log(10)) + SADDLE) if r < 1 else 0.0
+
+
+def _statistics(sets: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """The sets and (field, item, n), both written, and how many sets each field has."""
     sets = materialize(sets, "p3-sets")
     singles = sets.select("field", F.explode("items").alias("item")).groupBy("field", "item").agg(F.count("*").alias("n"))
     singles = materialize(singles, "p3-items")
-    records = {r.field: r.n for r in sets.groupBy("field").agg(F.count("*").alias("n")).collect()}  # a row a field
-    models = _models(sets, singles) if tails else {}
-    shared = spark.sparkContext.broadcast(models)
+    return sets, singles, {r.field: r.n for r in sets.groupBy("field").agg(F.count("*").alias("n")).collect()}  # a row a field
+
 
+def _counted(sets: DataFrame, singles: DataFrame, records: dict[str, int]) -> DataFrame:
+    """field, b, a, shared, count_a, count_b, records of the pairs of items in ``singles``."""
     n_of = F.create_map(*(F.lit(v) for kv in records.items() for v in kv)) if records else F.create_map(F.lit(""), F.lit(0))
     small = singles.count() <= BROADCAST_ROWS
     side = (lambda d: F.broadcast(d)) if small else (lambda d: d)
     a = side(singles.select("field", F.col("item").alias("a"), F.col("n").alias("count_a")))
     b = side(singles.select("field", F.col("item").alias("b"), F.col("n").alias("count_b")))
-    paired = possible(sets, singles, records, min_shared, min_lift) if records and (min_shared > 1 or min_lift) else sets
-    counted = pair_counts(paired).where(F.col("shared") >= min_shared).join(a, ["field", "a"]).join(b, ["field", "b"])
-    counted = counted.withColumn("records", n_of[F.col("field")].cast("long"))
-    if min_lift:
-        counted = counted.where(F.col("records").cast("double") * F.col("shared") >= min_lift * F.col("count_a").cast("double") * F.col("count_b"))
-    named = F.col("a").alias("item_a"), F.col("b").alias("item_b")
-    if not tails:
-        return counted.select("field", *named, "records", "count_a", "count_b", "shared")
+    counted = pair_counts(sets).join(a, ["field", "a"]).join(b, ["field", "b"])
+    return counted.withColumn("records", n_of[F.col("field")].cast("long"))
+
+
+def _limited(counted: DataFrame, min_shared: int, min_lift: float) -> DataFrame:
+    """The limits on exact counts."""
+    counted = counted.where(F.col("shared") >= min_shared)
+    return counted.where(F.col("records").cast("double") * F.col("shared") >= min_lift * F.col("count_a").cast("double") * F.col("count_b")) if min_lift else counted
+
+
+def _scored(counted: DataFrame, models: dict[str, tuple]) -> DataFrame:
+    """With expected and log10_p; of fields without a model they're NaN."""
+    shared = counted.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fields = np.array(batch.column("field").to_pylist(), dtype=object)
             k, ca, cb = (np.array(batch.column(x).to_pylist(), float) for x in ("shared", "count_a", "count_b"))
-            expected, tail = np.zeros(len(k)), np.zeros(len(k))
-            for field in set(fields):
+            expected, tail = np.full(len(k), np.nan), np.full(len(k), np.nan)
+            for field in set(fields) & set(shared.value):
                 c, x, y, n = shared.value[field]
                 own = np.flatnonzero(fields == field)
                 for part in np.array_split(own, max(1, len(own) * len(y) // 50_000)):
@@ -245,11 +304,11 @@ def surprising_pairs(sets: DataFrame, min_shared: int = 2, min_lift: float = 0.0
 
     kinds = "field string, b string, a string, shared long, count_a long, count_b long, records long"
     scored = counted.select("field", "b", "a", "shared", "count_a", "count_b", "records").mapInArrow(run, f"{kinds}, expected double, log10_p double")
-    return scored.select("field", *named, "records", "count_a", "count_b", "shared", "expected", "log10_p")
+    return scored.select("field", F.col("a").alias("item_a"), F.col("b").alias("item_b"), "records", "count_a", "count_b", "shared", "expected", "log10_p")
 
 
-def _models(sets: DataFrame, singles: DataFrame) -> dict[str, tuple]:
-    """For each field the frequencies, their x, the record sizes' y and how many records have each. Histograms are collected, of a few thousand bins at any size of input; a bin has the mean of its values, so totals stay."""
+def _models(sets: DataFrame, singles: DataFrame, needed: bool = True) -> dict[str, tuple]:
+    """For each field the frequencies, their x, the record sizes' y and how many records have each. Histograms are collected, of a few thousand bins at any size of input; a bin has the mean of its values, so totals stay. A field that can't be fitted is an error if it's ``needed``, else it's warned of and left out."""
     sizes: dict[str, list] = {}
     for r in sets.groupBy("field", _bin(F.size("items")).alias("size")).agg(F.count("*").alias("rows"), F.avg(F.size("items")).alias("mean")).collect():
         sizes.setdefault(r.field, []).append((r["mean"], r.rows))
@@ -260,8 +319,12 @@ def _models(sets: DataFrame, singles: DataFrame) -> dict[str, tuple]:
     for name in sorted(sizes):
         c, i = np.array(sorted(freqs[name]), float).T
         s, n = np.array(sorted(sizes[name]), float).T
-        x, y = fit(c, i, s, n)
-        models[name] = (c, x, y, n)
+        try:
+            models[name] = (c, *fit(c, i, s, n), n)
+        except RuntimeError as e:
+            if needed:
+                raise
+            warnings.warn(f"{name}: {e}")
     return models
 
 
@@ -270,17 +333,26 @@ def with_false_discovery(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     Ranks come from counts of log10 p in ``BINS`` bins a field, so they're exact to a bin's width of 0.1; pairs absent from ``pairs`` count as p = 1."""
     tested = sets.select("field", F.explode("items").alias("item")).distinct().groupBy("field").agg((F.count("*") * (F.count("*") - 1) / 2).alias("m"))
-    pairs = materialize(pairs, "p3-scored").withColumn("bin", F.greatest(F.floor(F.col("log10_p") * 10), F.lit(-BINS)).cast("int"))
+    pairs = _binned(materialize(pairs, "p3-scored"))
     m = {r.field: r.m for r in tested.collect()}
+    rows = [(field, b, min(1.0, rate)) for field, found in _rates(pairs, m).items() for b, rate in found]
+    rates = pairs.sparkSession.createDataFrame(rows, "field string, bin int, q double")
+    return pairs.join(F.broadcast(rates), ["field", "bin"]).drop("bin")  # at most BINS rows a field
+
+
+def _binned(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("bin", F.greatest(F.floor(F.col("log10_p") * 10), F.lit(-BINS)).cast("int"))
+
+
+def _rates(pairs: DataFrame, m: dict[str, float]) -> dict[str, list[tuple[int, float]]]:
+    """For each field the bins of log10 p with Benjamini and Hochberg's rate of each, not cut at 1, of ``m`` tests."""
     counts: dict[str, list] = {}
     for r in pairs.groupBy("field", "bin").agg(F.count("*").alias("n")).orderBy("bin").collect():
         counts.setdefault(r.field, []).append((r.bin, r.n))
-    rows = []
+    rates = {}
     for field, found in counts.items():
         bins = np.array([b for b, _ in found])
         rank = np.cumsum([n for _, n in found])
-        rate = np.minimum(1.0, m[field] * 10.0 ** np.minimum((bins + 1) / 10, 0) / rank)
-        q = np.minimum.accumulate(rate[::-1])[::-1]
-        rows += [(field, int(b), float(v)) for b, v in zip(bins, q)]
-    rates = pairs.sparkSession.createDataFrame(rows, "field string, bin int, q double")
-    return pairs.join(F.broadcast(rates), ["field", "bin"]).drop("bin")  # at most BINS rows a field
+        rate = m[field] * 10.0 ** np.minimum((bins + 1) / 10, 0) / rank
+        rates[field] = [(int(b), float(q)) for b, q in zip(bins, np.minimum.accumulate(rate[::-1])[::-1])]
+    return rates

@@ -157,3 +157,68 @@ def test_surprise_of_one_shared_record(spark, tmp_path):
     spark.createDataFrame([(None, t) for t in rows], "entities string, concept_tags string").write.parquet(str(tmp_path / "chunks.parquet"))
     got = {(r.item_a, r.item_b): r.shared for r in queries.p3_surprise(spark, str(tmp_path)).collect()}
     assert got["rare", "scarce"] == 1
+
+
+def _stated(rows, min_shared, min_lift):
+    count, both = Counter(i for r in rows for i in r), Counter(p for r in rows for p in itertools.combinations(sorted(r), 2))
+    return {p for p, k in both.items() if k >= min_shared and len(rows) * k >= min_lift * count[p[0]] * count[p[1]]}, both
+
+
+def test_cases_are_found_by_the_null_and_none_is_lost(spark):
+    rng = random.Random(12)
+    flat = [set(rng.sample([f"i{k}" for k in range(90)], rng.randint(1, 6))) for _ in range(900)] + [{"u", "v"}] * 4 + [{"u", f"i{k}"} for k in range(8)] + [{"v", f"i{k}"} for k in range(9, 30)]
+    skewed = [{f"i{int(rng.paretovariate(0.7))}" for _ in range(int(rng.paretovariate(0.9)) % 60 + 1)} for _ in range(600)]
+    nested = [{f"i{j}" for j in range(k + 1)} for k in range(40)]
+    hot = [{"h", str(i % 90)} for i in range(360)] + [{str(i) for i in range(90)} | {"h"}] * 2
+    for rows, limits in ((flat, (4, 8)), (flat, (2, 3)), (skewed, (4, 8)), (skewed, (3, 2)), (nested, (4, 8)), (hot, (4, 8)), (hot, (2, 2)), ([{"a", "b"}] * 9, (4, 1))):
+        expected, both = _stated(rows, *limits)
+        assert {(r.item_a, r.item_b) for r in co.cases(sets_df(spark, rows), *limits).collect()} == expected
+    assert {(r.item_a, r.item_b): r.shared for r in co.cases(sets_df(spark, flat), 4, 8).collect()}["u", "v"] == 4
+    assert co.cases(sets_df(spark, []), 4, 8).count() == 0
+
+
+def test_the_null_drops_pairs_before_the_limits(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [set(rng.sample([f"i{k}" for k in range(60)], 3)) for _ in range(700)] + [{f"u{k}", f"v{k}"} for k in range(60)] * 5 + [{"once", "twice"}, {"twice"}]
+    monkeypatch.setattr(co, "_limited", lambda df, *_: df)
+    kept = {(r.item_a, r.item_b): r for r in co.cases(sets_df(spark, rows), 4, 8).collect()}
+    expected, both = _stated(rows, 4, 8)
+    assert ("u0", "v0") in expected and expected <= set(kept) and len(kept) < len(both) / 4
+    p = 10 ** (math.floor(kept["u0", "v0"].log10_p * 10) / 10 + 0.1)  # 180 items are in 4 records or more, and the planted pairs are the first 60 of all
+    assert kept["u0", "v0"].rate == pytest.approx(p * 180 * 179 / 2 / 60)
+
+
+def test_found_cases_come_by_the_null(spark, tmp_path, monkeypatch):
+    rows = [f"c{i % 40},c{(i * 7 + 1 + i // 40) % 40}" for i in range(2_000)] + ["rare,scarce"] * 4
+    spark.createDataFrame([(None, t) for t in rows], "entities string, concept_tags string").write.parquet(str(tmp_path / "chunks.parquet"))
+    found = lambda: {tuple(r) for r in queries.p3_found(spark, str(tmp_path)).collect()}
+    assert ("concept_tags", "rare", "scarce") in found()
+    monkeypatch.setattr(co, "least_surprise", lambda *_: -300.0)  # nothing surprises so much
+    assert found() == set()
+
+
+def test_a_null_that_cant_be_fitted_loses_no_case(spark, monkeypatch):
+    rows = [{"x", "y"}] * 5 + [{"x"}] * 2 + [{"z", str(i)} for i in range(93)]
+    monkeypatch.setattr(co, "STEPS", 0)
+    with pytest.warns(UserWarning, match="isn't fitted"):
+        assert [(r.item_a, r.item_b) for r in co.cases(sets_df(spark, rows), 4, 8).collect()] == [("x", "y")]
+    with pytest.raises(RuntimeError):
+        co.surprising_pairs(sets_df(spark, rows), 4, 8)
+
+
+def test_a_case_surprises_at_least_so_much():
+    rng = np.random.default_rng(3)
+    bounded = 0
+    for _ in range(200):
+        n, y = np.ceil(10 ** rng.uniform(0, 5, 5)), np.sort(10 ** rng.uniform(-3, 3, 5))
+        x = np.sort(10 ** rng.uniform(-7, 0, 12))
+        p = 1 / (1 + 1 / np.outer(x, y))
+        c, shared, lift = p @ n, int(rng.integers(2, 7)), float(rng.choice([2, 8, 20]))
+        level = co.least_surprise((c, x, y, n), shared, lift)
+        i, j = (v.ravel() for v in np.indices((12, 12)))
+        k = np.maximum(shared, np.ceil(lift * c[i] * c[j] / n.sum()))
+        ok = k <= np.minimum(c[i], c[j])
+        if level < 0 and ok.any():
+            bounded += 1
+            assert co.log10_tail(k[ok], p[i[ok]] * p[j[ok]], n).max() <= level
+    assert bounded > 30
